@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,3 +35,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def smallest_by_hash(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """The rows of the ``rows`` smallest hashes of ``key``, one row a hash: a bounded sample that doesn't
+    depend on partitions. Only hashes are sorted; the rows themselves are read by the largest of them."""
+    h = F.xxhash64(key)
+    top = df.select(h.alias("h")).distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.withColumn("_h", h).where(F.col("_h") <= F.lit(top)).dropDuplicates(["_h"]).orderBy("_h").drop("_h")

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import smallest_by_hash
 from .textkernel import U, Words
 
 PATH_DIM, WORD_DIM, SHAPE_DIM = 96, 32, 4
@@ -276,7 +277,7 @@ def varied(page: list[Block], spare: list[str], rng: np.random.Generator) -> lis
 def fit(pages: DataFrame, rows: int = 240, epochs: int = 60, seed: int = 2, longest: int = 60) -> BlockLSTM:
     """Train on at most ``rows`` pages, those of smallest hash (the bounded training sample), whose blocks
     the markup marks; each epoch sees each page in another variation, of at most ``longest`` blocks."""
-    picked = pages.where("html is not null").orderBy(F.xxhash64("html"), "page_id").limit(rows).select("html").collect()
+    picked = smallest_by_hash(pages.where("html is not null"), F.col("html"), rows).select("html").collect()
     parsed = [b for b in (blocks(r["html"]) for r in picked) if b]
     model = BlockLSTM(PATH_DIM + WORD_DIM + SHAPE_DIM, seed=seed)
     if not parsed:

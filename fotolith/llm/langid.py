@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import smallest_by_hash
 from .textkernel import U, Words, chunks
 
 TABLE = 1 << 16
@@ -190,10 +191,10 @@ def train(texts: list[str], langs: list[str], steps: int = 30, run: int = 24, wo
 
 
 def fit(docs: DataFrame, rows: int = 2000) -> LanguageField:
-    """Learn from at most ``rows`` labelled rows (those of smallest hash of text) and of each at most its
-    first 4,000 characters: the bounded training sample. Rows without text or lang don't count."""
-    text = F.substring("text", 1, 4000)
-    picked = docs.where("text is not null and lang is not null").select(text.alias("text"), "lang", F.xxhash64("text").alias("h")).orderBy("h", "lang").limit(rows).collect()
+    """Learn from at most ``rows`` labelled texts (those of smallest hash) and of each at most its first
+    4,000 characters: the bounded training sample. Rows without text or lang don't count."""
+    known = docs.where("text is not null and lang is not null")
+    picked = smallest_by_hash(known, F.col("text"), rows).select(F.substring("text", 1, 4000).alias("text"), "lang").collect()
     return train([r["text"] for r in picked], [r["lang"] for r in picked])
 
 

@@ -117,6 +117,22 @@ def _verified(pairs: DataFrame, percent: int, words: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def unshared_counts(texts: DataFrame, words: int) -> DataFrame:
+    """Of rows ``cid, text``: ``cid, unshared``, how many shingles of a text no other of the rows has."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, blobs = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            for lo, hi in chunks(blobs, 1 << 19):
+                sets = shingle_sets(blobs[lo:hi], words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids[lo:hi], np.int64), [len(x) for x in sets])), pa.array(np.concatenate(sets).view(np.int64))], ["cid", "shingle"])
+
+    each = texts.mapInArrow(run, "cid long, shingle long")
+    return each.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("cid").alias("cid")).where("docs = 1").groupBy("cid").agg(F.count("*").alias("unshared"))
+
+
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """``node, comp`` of every node of the edges ``a, b``: comp is the smallest node reachable.
 
@@ -152,7 +168,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, slack: f
     none with a chance under 1e-4). A bucket's pairs are never listed: in each round some members are
     hubs, first the one of smallest hash, then ever more; each member meets the hubs of other
     components. A pair goes on if its likely similarity is at least the threshold less ``slack``
-    (over 4 standard errors) and links if its full sets pass. Members that have been hubs are done;
+    (over 4 standard errors) and links if its full sets pass. After the first round, shingles that no
+    other unresolved text has are counted: a set with too many of them can't be alike to any, which
+    ends large groups of heavily edited copies without meeting their pairs. Members that have been hubs are done;
     buckets within one component drop out; so every pair that shares a bucket is either linked,
     refused or joined by others before the rounds end.
 
@@ -172,34 +190,50 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, slack: f
     light = classes.select("cid", "n", "registers")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
-    def fits(x: str, y: str):
-        return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    def fits(mine: str = "n", other: str = "hub_n", own: str = "unshared", theirs: str = "hub_unshared"):
+        """Whether sizes, less what nobody shares, allow the similarity: exact, and before any text is read."""
+        most = F.least(F.col(mine) - F.col(own), F.col(other) - F.col(theirs))
+        return (F.least(mine, other) * 100 >= F.greatest(mine, other) * percent) & (most * (100 + percent) >= (F.col(mine) + F.col(other)) * percent)
+
+    def texts_of(cids: DataFrame) -> DataFrame:
+        own = cids.distinct().join(classes, "cid").select("cid", F.col("id").alias("doc_id"), "text_hash")
+        return own.join(texts, ["doc_id", "text_hash"]).groupBy("cid").agg(F.first("text").alias("text"))
 
     def link(pairs: DataFrame) -> DataFrame:
         p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         one, two = (light.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")) for x in "ab")
         likely = written(_estimated(p.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb"), percent / 100 - slack), "likely")
-        wanted = likely.select(F.col("a").alias("cid")).union(likely.select(F.col("b").alias("cid"))).distinct().join(classes, "cid")
-        own = written(wanted.select("cid", F.col("id").alias("doc_id"), "text_hash").join(texts, ["doc_id", "text_hash"]).groupBy("cid").agg(F.first("text").alias("text")), "texts")
+        own = written(texts_of(likely.select(F.col("a").alias("cid")).union(likely.select(F.col("b").alias("cid")))), "texts")
         one, two = (own.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
         return written(_verified(likely.join(one, "a").join(two, "b").select("a", "b", "ta", "tb"), percent, words), "links")
 
-    edges = link(buckets.where("cid <> hub").where(fits("n", "hub_n")).select(F.col("cid").alias("a"), F.col("hub").alias("b")))
-    rest = buckets.where("cid <> hub").select("sig", "cid", "n")
+    def unresolved(rows: DataFrame) -> DataFrame:
+        """Rows of buckets that still hold more than one component, with the bucket's size and smallest set."""
+        mixed = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("smallest")).where("lo <> hi")
+        return written(rows.join(mixed.select("sig", "size", "smallest"), "sig"), "rest")
+
+    met = buckets.where("cid <> hub").withColumns({"unshared": F.lit(0), "hub_unshared": F.lit(0)}).where(fits())
+    edges = link(met.select(F.col("cid").alias("a"), F.col("hub").alias("b")))
+    rest = buckets.where("cid <> hub").select("sig", "cid", "n", F.lit(0).cast("long").alias("unshared"))
     hubs = 1
     while True:
         comp = connected_components(edges)
-        named = rest.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).select("sig", "cid", "n", "comp")
-        mixed = named.groupBy("sig").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")).where("lo <> hi")
-        rest = written(named.join(mixed.select("sig", "size"), "sig"), "rest")
+        named = rest.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        rest = unresolved(named.select("sig", "cid", "n", "unshared", "comp"))
         if rest.isEmpty():
             break
+        if hubs == 1:
+            # Partners are among these rows. A member much of whose set none of them shares can't link.
+            alone = written(unshared_counts(texts_of(rest.select("cid")), words), "unshared").withColumnRenamed("unshared", "alone")
+            rest = rest.join(alone, "cid", "left").withColumn("unshared", F.coalesce("alone", F.lit(0)))
+            partner = F.greatest("smallest", F.ceil(F.col("n") * percent / 100))
+            rest = unresolved(rest.where((F.col("n") - F.col("unshared")) * (100 + percent) >= (F.col("n") + partner) * percent).select("sig", "cid", "n", "unshared", "comp"))
         hubs *= 8
         chosen = F.pmod(F.xxhash64("cid", F.lit(hubs)), F.ceil(F.col("size") / hubs)) == 0
-        heads = rest.where(chosen).select("sig", F.col("cid").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-        met = rest.join(heads, "sig").where("comp <> hub_comp").where(fits("n", "hub_n")).where(~chosen | (F.col("cid") < F.col("hub")))
+        heads = rest.where(chosen).select("sig", F.col("cid").alias("hub"), F.col("n").alias("hub_n"), F.col("unshared").alias("hub_unshared"), F.col("comp").alias("hub_comp"))
+        met = rest.join(heads, "sig").where("comp <> hub_comp").where(fits()).where(~chosen | (F.col("cid") < F.col("hub")))
         edges = written(edges.union(link(met.select(F.col("cid").alias("a"), F.col("hub").alias("b")))), "links")
-        rest = rest.where(~chosen).select("sig", "cid", "n")
+        rest = rest.where(~chosen).select("sig", "cid", "n", "unshared")
     least = classes.select("cid", "id").join(comp.withColumnRenamed("node", "cid"), "cid").groupBy("comp").agg(F.min("id").alias("component_id"))
     named = comp.join(least, "comp").select(F.col("node").alias("cid"), "component_id")
     of_class = classes.join(named, "cid", "left").select("set_a", "set_b", F.coalesce("component_id", "id").alias("component_id"))
