@@ -69,7 +69,7 @@ def forward_backward(em: np.ndarray, trans: np.ndarray, start: np.ndarray, block
     nb = -(-n // block)
     e = np.ones((nb * block, k))
     e[:n] = np.exp(em - em.max(1, keepdims=True))
-    s = np.zeros(nb * block, bool)
+    s = np.ones(nb * block, bool)  # what fills the last block is cut off from the last word
     s[:n] = start
     e, s = e.reshape(nb, block, k), s.reshape(nb, block)
     a = np.exp(trans - trans.max())

@@ -120,7 +120,7 @@ def dot_product_pack(sizes: np.ndarray, capacity: np.ndarray) -> list[list[int]]
             left[best] -= 1
             room = room - kinds[best]
         if not members:
-            break
+            raise ValueError("an item exceeds a limit by itself; cut it first")
         bins.append(members)
         alive = alive[left[alive] > 0]
     return bins
