@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _TWO_SPACES = re.compile(r"\s\s")
-_CACHE_LIMIT = 200_000
+_CACHE_LIMIT = 500_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -27,6 +28,10 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab()
+        #: Bytes of each id: the vocabulary writes a byte as one character.
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.width[list(vocab.values())] = [len(t) for t in vocab]
         self._clear()
 
     def _clear(self) -> None:
@@ -34,25 +39,42 @@ class CachedTokenizer:
         self.flat, self.at = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64)
         self.n = 0
 
+    def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts after each other, and how many each has. Parts that begin with their space and
+        don't end in white space are encoded joined, and told apart by the bytes of their ids."""
+        joins = np.array([p[0] == " " and not p[-1].isspace() for p in parts], bool)
+        order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+        own = [parts[i] for i in order]
+        k = int(joins.sum())
+        runs = [own[i:min(i + 500, k)] for i in range(0, k, 500)]
+        got = [np.asarray(e.ids, np.uint32) for e in self.tok.encode_batch_fast(["".join(r) for r in runs] + own[k:], add_special_tokens=False)]
+        flat = np.concatenate(got) if got else np.zeros(0, np.uint32)
+        size = np.array([len(p.encode()) for p in own], np.int64)
+        ends = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(size), side="left") + 1
+        count = np.diff(np.concatenate([[0], ends]))
+        back = np.argsort(order)
+        start = np.concatenate([[0], ends[:-1]])[back]
+        count = count[back]
+        total = np.concatenate([[0], np.cumsum(count)])
+        return flat[np.repeat(start - total[:-1], count) + np.arange(total[-1])], count
+
     def _learn(self, parts: list[str]) -> None:
-        got = [e.ids for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
-        if self.n + len(got) + 1 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros(max(len(self.at), len(got) + 1), np.int64)])
-        new = np.concatenate([np.asarray(g, np.uint32) for g in got]) if got else np.zeros(0, np.uint32)
-        ends = self.at[self.n] + np.cumsum([len(g) for g in got])
-        if len(ends) and ends[-1] > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(new)), np.uint32)])
-        self.flat[self.at[self.n]:self.at[self.n] + len(new)] = new
-        self.at[self.n + 1:self.n + 1 + len(got)] = ends
-        for i, p in enumerate(parts):
-            self.index[p] = self.n + i
-        self.n += len(got)
+        new, count = self._ids(parts)
+        while self.n + len(parts) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(len(self.at), np.int64)])
+        ends = self.at[self.n] + np.cumsum(count)
+        while ends[-1] > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        self.flat[self.at[self.n]:ends[-1]] = new
+        self.at[self.n + 1:self.n + 1 + len(parts)] = ends
+        self.index.update(zip(parts, range(self.n, self.n + len(parts)), strict=True))
+        self.n += len(parts)
 
     @staticmethod
     def parts(text: str) -> list[str]:
         if not text:
             return []
-        if _TWO_SPACES.search(text) or text[0].isspace() or text[-1].isspace():
+        if "\0" in text or _TWO_SPACES.search(text) or text[0].isspace() or text[-1].isspace():
             first, *rest = _SAFE_SPACE.split(text)
             return [first, *[" " + x for x in rest]]
         # A lone newline or other white space between words: only plain spaces and newlines are cut.
@@ -60,9 +82,9 @@ class CachedTokenizer:
         for i, line in enumerate(text.split("\n")):
             if i:
                 out.append("\n")
-            first, *rest = line.split(" ")
+            first, *rest = line.replace(" ", "\0 ").split("\0")
             out.append(first)
-            out += [" " + x for x in rest]
+            out += rest
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -80,11 +102,12 @@ class CachedTokenizer:
     def _encode(self, parts: list[list[str]]) -> list[np.ndarray]:
         if self.n > _CACHE_LIMIT:
             self._clear()
-        every = [p for x in parts for p in x]
-        fresh = [p for p in dict.fromkeys(every) if p not in self.index]
-        if fresh:
-            self._learn(fresh)
-        at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        every = list(chain.from_iterable(parts))
+        at = np.fromiter(map(self.index.get, every, repeat(-1)), np.int64, len(every))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            self._learn(list(dict.fromkeys(every[i] for i in unknown)))
+            at[unknown] = [self.index[every[i]] for i in unknown]
         a, n = self.at[at], self.at[at + 1] - self.at[at]
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.repeat(a - total[:-1], n) + np.arange(total[-1])]
