@@ -172,13 +172,23 @@ def test_pack_limits_hold_together():
     assert (got == n).all()
 
 
-@pytest.mark.parametrize("text", ["", " ", "a  b", "a\n\nb c", "\n a", "it's 5 o'clock\tnow ", "é x y", "a \n b", "<|endoftext|> x"])
-def test_cached_tokenizer_is_exact(text):
+@pytest.mark.parametrize("text", ["", " ", "a  b", "a\n\nb c", "\n a", "it's 5 o'clock\tnow ", "é x y", "a \n b", "<|endoftext|> x", "a\x85b\x1cc\u3000 d", "٣4 中文🙂", "x" * 3000, " " * 3000, "ab\n" * 2000])
+def test_ids_are_the_librarys(text):
     from tokenizers import Tokenizer
 
-    t = packing.CachedTokenizer(queries.tokenizer_path())
+    t = packing.TextTokenizer(queries.tokenizer_path())
+    assert t.fast
     for x in (text, f"w {text} v"):
-        assert t.encode([x])[0].tolist() == Tokenizer.from_file(queries.tokenizer_path()).encode(x, add_special_tokens=False).ids
+        assert t.encode(x).tolist() == Tokenizer.from_file(queries.tokenizer_path()).encode(x, add_special_tokens=False).ids
+
+
+def test_other_tokenizer_files_go_to_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = packing.TextTokenizer(path)
+    assert t.fast is None and t.encode("Some Words").tolist() == Tokenizer.from_file(path).encode("Some Words", add_special_tokens=False).ids
 
 
 def test_quality_score(spark):
