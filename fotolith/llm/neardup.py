@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -117,8 +117,8 @@ def _verified(pairs: DataFrame, percent: int, words: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def unshared_counts(texts: DataFrame, words: int) -> DataFrame:
-    """Of rows ``cid, text``: ``cid, unshared``, how many shingles of a text no other of the rows has."""
+def shingle_rows(texts: DataFrame, words: int) -> DataFrame:
+    """Of rows ``cid, text``: one row ``cid, shingle`` for each member of each text's set."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -129,8 +129,7 @@ def unshared_counts(texts: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(blobs[lo:hi], words)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids[lo:hi], np.int64), [len(x) for x in sets])), pa.array(np.concatenate(sets).view(np.int64))], ["cid", "shingle"])
 
-    each = texts.mapInArrow(run, "cid long, shingle long")
-    return each.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("cid").alias("cid")).where("docs = 1").groupBy("cid").agg(F.count("*").alias("unshared"))
+    return texts.mapInArrow(run, "cid long, shingle long")
 
 
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -165,14 +164,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, slack: f
 
     Texts of equal shingle sets are one class, whose smallest doc_id stands for it. Classes whose
     registers agree in a band of :data:`ROWS` share a bucket (at a similarity of 0.85 a pair shares
-    none with a chance under 1e-4). A bucket's pairs are never listed: in each round some members are
-    hubs, first the one of smallest hash, then ever more; each member meets the hubs of other
-    components. A pair goes on if its likely similarity is at least the threshold less ``slack``
-    (over 4 standard errors) and links if its full sets pass. After the first round, shingles that no
-    other unresolved text has are counted: a set with too many of them can't be alike to any, which
-    ends large groups of heavily edited copies without meeting their pairs. Members that have been hubs are done;
-    buckets within one component drop out; so every pair that shares a bucket is either linked,
-    refused or joined by others before the rounds end.
+    none with a chance under 1e-4). A bucket's pairs are never listed. Its members first meet its hub,
+    the one of smallest hash. In buckets that then still hold several components they meet a second
+    hub, the member whose shingles are the most widespread: of a text and its edited copies that is
+    the least edited one. What is left is cut exactly: shingles are put in one order, rare before
+    common, and two sets alike enough share one that has enough of both sets at or after it. Only
+    members that hold the same such shingle meet, so a large group of heavily edited copies, each
+    mostly of its own rare shingles up to there, ends without its pairs. A pair that meets goes on if
+    its likely similarity is at least the threshold less ``slack`` (over 4 standard errors) and links
+    if its full sets pass. Buckets within one component drop out; so every pair that shares a bucket
+    is linked, refused or joined by others.
 
     Defined cases: texts without words link with nothing; null texts count as empty; null doc_ids
     come out unlinked and not kept apart from their own row; equal rows share their component.
@@ -186,14 +187,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, slack: f
     band = lambda i: F.xxhash64(F.lit(i), F.substring("registers", i * ROWS + 1, ROWS))
     banded = classes.select("cid", "n", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("sig"))
     counts = banded.groupBy("sig").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n")).alias("hub")).where("size > 1")
-    buckets = written(banded.join(counts, "sig").select("sig", "cid", "n", "size", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
+    buckets = written(banded.join(counts, "sig").select("sig", "cid", "n", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
     light = classes.select("cid", "n", "registers")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
-    def fits(mine: str = "n", other: str = "hub_n", own: str = "unshared", theirs: str = "hub_unshared"):
-        """Whether sizes, less what nobody shares, allow the similarity: exact, and before any text is read."""
-        most = F.least(F.col(mine) - F.col(own), F.col(other) - F.col(theirs))
-        return (F.least(mine, other) * 100 >= F.greatest(mine, other) * percent) & (most * (100 + percent) >= (F.col(mine) + F.col(other)) * percent)
+    def enough(left: str, mine: str, other: Column) -> Column:
+        """Whether ``left`` common shingles suffice for sets of these sizes."""
+        return F.col(left) * (100 + percent) >= (F.col(mine) + other) * percent
+
+    def fits(mine: str, other: str) -> Column:
+        """Whether two sizes allow the similarity: exact, and before any text is read."""
+        return F.least(mine, other) * 100 >= F.greatest(mine, other) * percent
 
     def texts_of(cids: DataFrame) -> DataFrame:
         own = cids.distinct().join(classes, "cid").select("cid", F.col("id").alias("doc_id"), "text_hash")
@@ -208,35 +212,49 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, slack: f
         return written(_verified(likely.join(one, "a").join(two, "b").select("a", "b", "ta", "tb"), percent, words), "links")
 
     def unresolved(rows: DataFrame) -> DataFrame:
-        """Rows of buckets that still hold more than one component, with the bucket's size and smallest set."""
-        mixed = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("smallest")).where("lo <> hi")
-        return written(rows.join(mixed.select("sig", "size", "smallest"), "sig"), "rest")
-
-    met = buckets.where("cid <> hub").withColumns({"unshared": F.lit(0), "hub_unshared": F.lit(0)}).where(fits())
-    edges = link(met.select(F.col("cid").alias("a"), F.col("hub").alias("b")))
-    rest = buckets.where("cid <> hub").select("sig", "cid", "n", F.lit(0).cast("long").alias("unshared"))
-    hubs = 1
-    while True:
+        """Rows of buckets that still hold more than one component, with the bucket's smallest set."""
+        mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("smallest")).where("lo <> hi")
+        return written(rows.join(mixed.select("sig", "smallest"), "sig"), "rest")
+
+    def named(rows: DataFrame, comp: DataFrame) -> DataFrame:
+        return rows.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
+    members = buckets.where("cid <> hub")
+    edges = link(members.where(fits("n", "hub_n")).select(F.col("cid").alias("a"), F.col("hub").alias("b")))
+    comp = connected_components(edges)
+    rest = unresolved(named(members.select("sig", "cid", "n"), comp))
+    if not rest.isEmpty():
+        # Partners are among these rows: shingles that only one of them has can't be common to two.
+        shingles = written(shingle_rows(texts_of(rest.select("cid")), words), "shingles")
+        holders = shingles.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+        shared = written(shingles.join(holders, "shingle"), "shared")
+        of_text = shared.groupBy("cid").agg(F.count("*").alias("shared"), F.sum(F.log("holders")).alias("spread"))
+        partner = F.greatest("smallest", F.ceil(F.col("n") * percent / 100))
+        rest = unresolved(rest.join(of_text, "cid").where(enough("shared", "n", partner)).select("sig", "cid", "n", "comp", "spread"))
+
+        central = F.max(F.struct((F.col("spread") / F.col("n")).alias("spread"), "cid", "n", "comp")).alias("hub")
+        met = rest.join(rest.groupBy("sig").agg(central), "sig").where("cid <> hub.cid")
+        met = met.select("sig", "cid", "n", "comp", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.comp").alias("hub_comp"))
+        edges = written(edges.union(link(met.where("comp <> hub_comp").where(fits("n", "hub_n")).select(F.col("cid").alias("a"), F.col("hub").alias("b")))), "links")
+        comp = connected_components(edges)
+        rest = unresolved(named(met.select("sig", "cid", "n"), comp))
+
+        # left: how many of a set's shingles come at this one or after it, in the order rare to common.
+        order = Window.partitionBy("cid").orderBy(F.desc("holders"), F.desc("shingle"))
+        left = shared.join(rest.select("cid", "n", "comp").distinct(), "cid").withColumn("left", F.row_number().over(order))
+        post = written(left.where(enough("left", "n", F.ceil(F.col("n") * percent / 100))).select("shingle", "cid", "n", "comp", "left"), "postings")
+        smallest = post.groupBy("shingle").agg(F.min("n").alias("smallest"))
+        post = post.join(smallest, "shingle").where(enough("left", "n", partner)).drop("smallest")
+        mixed = post.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        post = written(post.join(mixed.select("shingle"), "shingle"), "postings")
+        other = post.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "comp", "left")])
+        alike = enough("left", "n", F.col("n_b")) & enough("left_b", "n", F.col("n_b"))
+        pairs = post.join(other, "shingle").where("cid < cid_b and comp <> comp_b").where(alike)
+        edges = written(edges.union(link(pairs.select(F.col("cid").alias("a"), F.col("cid_b").alias("b")))), "links")
         comp = connected_components(edges)
-        named = rest.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        rest = unresolved(named.select("sig", "cid", "n", "unshared", "comp"))
-        if rest.isEmpty():
-            break
-        if hubs == 1:
-            # Partners are among these rows. A member much of whose set none of them shares can't link.
-            alone = written(unshared_counts(texts_of(rest.select("cid")), words), "unshared").withColumnRenamed("unshared", "alone")
-            rest = rest.join(alone, "cid", "left").withColumn("unshared", F.coalesce("alone", F.lit(0)))
-            partner = F.greatest("smallest", F.ceil(F.col("n") * percent / 100))
-            rest = unresolved(rest.where((F.col("n") - F.col("unshared")) * (100 + percent) >= (F.col("n") + partner) * percent).select("sig", "cid", "n", "unshared", "comp"))
-        hubs *= 8
-        chosen = F.pmod(F.xxhash64("cid", F.lit(hubs)), F.ceil(F.col("size") / hubs)) == 0
-        heads = rest.where(chosen).select("sig", F.col("cid").alias("hub"), F.col("n").alias("hub_n"), F.col("unshared").alias("hub_unshared"), F.col("comp").alias("hub_comp"))
-        met = rest.join(heads, "sig").where("comp <> hub_comp").where(fits()).where(~chosen | (F.col("cid") < F.col("hub")))
-        edges = written(edges.union(link(met.select(F.col("cid").alias("a"), F.col("hub").alias("b")))), "links")
-        rest = rest.where(~chosen).select("sig", "cid", "n", "unshared")
     least = classes.select("cid", "id").join(comp.withColumnRenamed("node", "cid"), "cid").groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = comp.join(least, "comp").select(F.col("node").alias("cid"), "component_id")
-    of_class = classes.join(named, "cid", "left").select("set_a", "set_b", F.coalesce("component_id", "id").alias("component_id"))
+    ids = comp.join(least, "comp").select(F.col("node").alias("cid"), "component_id")
+    of_class = classes.join(ids, "cid", "left").select("set_a", "set_b", F.coalesce("component_id", "id").alias("component_id"))
     out = sk.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
     out = out.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
