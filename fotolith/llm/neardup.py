@@ -143,9 +143,8 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(rounds):
         two = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = two.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(e.join(low, "u").select("u", F.col("m").alias("v")))
-        large = large.where("u <> v").distinct()
+        low = two.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = two.join(low, "u").select(F.greatest("u", "v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new = written(small, "edges")
@@ -219,6 +218,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, slack: f
     def named(rows: DataFrame, comp: DataFrame) -> DataFrame:
         return rows.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 
+    def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+        """Components after these further links."""
+        if links.isEmpty():
+            return comp
+        return connected_components(links.union(comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+
     members = buckets.where("cid <> hub")
     edges = link(members.where(fits("n", "hub_n")).select(F.col("cid").alias("a"), F.col("hub").alias("b")))
     comp = connected_components(edges)
@@ -235,8 +240,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, slack: f
         central = F.max(F.struct((F.col("spread") / F.col("n")).alias("spread"), "cid", "n", "comp")).alias("hub")
         met = rest.join(rest.groupBy("sig").agg(central), "sig").where("cid <> hub.cid")
         met = met.select("sig", "cid", "n", "comp", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.comp").alias("hub_comp"))
-        edges = written(edges.union(link(met.where("comp <> hub_comp").where(fits("n", "hub_n")).select(F.col("cid").alias("a"), F.col("hub").alias("b")))), "links")
-        comp = connected_components(edges)
+        found = link(met.where("comp <> hub_comp").where(fits("n", "hub_n")).select(F.col("cid").alias("a"), F.col("hub").alias("b")))
+        comp = joined(comp, found)
         rest = unresolved(named(met.select("sig", "cid", "n"), comp))
 
         # left: how many of a set's shingles come at this one or after it, in the order rare to common.
@@ -250,8 +255,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, slack: f
         other = post.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "comp", "left")])
         alike = enough("left", "n", F.col("n_b")) & enough("left_b", "n", F.col("n_b"))
         pairs = post.join(other, "shingle").where("cid < cid_b and comp <> comp_b").where(alike)
-        edges = written(edges.union(link(pairs.select(F.col("cid").alias("a"), F.col("cid_b").alias("b")))), "links")
-        comp = connected_components(edges)
+        comp = joined(comp, link(pairs.select(F.col("cid").alias("a"), F.col("cid_b").alias("b"))))
     least = classes.select("cid", "id").join(comp.withColumnRenamed("node", "cid"), "cid").groupBy("comp").agg(F.min("id").alias("component_id"))
     ids = comp.join(least, "comp").select(F.col("node").alias("cid"), "component_id")
     of_class = classes.join(ids, "cid", "left").select("set_a", "set_b", F.coalesce("component_id", "id").alias("component_id"))
