@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which :func:`run` writes as Parquet
 to the shared folder and reads again as the next stage's docs. All stages but the last return the
-columns of ``documents``.
+columns of ``documents``. Verdicts go back to rows by a row key, which :func:`run` adds once and which
+a stage that is called alone adds for itself: doc_ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -15,36 +16,50 @@ from fotolith.llm.common import table, written
 from fotolith.llm.queries import language_model, tokenizer_path, word_count
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ROW = "_row"
 
 
-def keep(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id ``wanted`` holds."""
-    return docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, written so that it stays the same when a plan runs again."""
+    return docs if ROW in docs.columns else written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def keep(rows: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the keyed ``rows`` that ``wanted`` holds, with the columns of the stage's ``docs``."""
+    return rows.join(wanted.select(ROW), ROW, "left_semi").select(*[c for c in docs.columns if c in (*COLUMNS, ROW)])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Documents whose language the field tells: a label with at least ``least`` of the mass. The others
     (no letters, or no language with half of the words) go."""
-    return keep(docs, langid.predict(docs, language_model(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= least)))
+    rows = keyed(docs)
+    told = langid.predict(rows.select(F.col(ROW).alias("doc_id"), "text"), language_model(rows)).withColumnRenamed("doc_id", ROW)
+    return keep(rows, told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)), docs)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the forest."""
-    return keep(docs, quality_rules.quality_rules(docs, table(spark, sf_dir, "labels")).where("kept"))
+    rows = keyed(docs)
+    return keep(rows, quality_rules.quality_rules(rows, table(spark, sf_dir, "labels"), carry=(ROW,)).where("kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of smallest doc_id."""
-    return keep(docs, neardup.near_duplicates(docs).where("kept"))
+    """One document of each group of near copies, that of smallest doc_id (null last); of rows that tie the
+    first. Rows are compared by their own texts, also those without a doc_id."""
+    rows = keyed(docs)
+    group = neardup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW))
+    return keep(rows, group.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first.alias("first")).select(f"first.{ROW}"), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in their sources' target shares: those the mix reads twice come twice, those it
     doesn't reach go, and where a target ends inside a document its text ends after that word."""
-    taken = mixing.mix_documents(docs.select("doc_id", "source", word_count().alias("size")), "size")
+    keys = keyed(docs)
+    taken = mixing.mix_documents(keys.select("doc_id", "source", word_count().alias("size"), ROW), "size", carry=(ROW,))
     times = F.filter(F.array("first_words", "second_words"), lambda n: n > 0)
-    copies = taken.select("doc_id", "size", F.explode(times).alias("words"))
-    rows = docs.join(copies, "doc_id")
+    copies = taken.select(ROW, "size", F.explode(times).alias("words"))
+    rows = keys.join(copies, ROW)
     # The front of a text up to its n-th word, as it stands there: parts end where words end.
     parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     front = F.array_join(F.slice(parts, F.lit(1), F.col("words").cast("int")), "")
@@ -65,7 +80,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = keyed(table(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs

@@ -64,9 +64,10 @@ def schedule(targets: DataFrame, block: int = 1024) -> DataFrame:
     return ranked.where("rank < blocks").select("slot", "source", "rank")
 
 
-def mix_documents(docs: DataFrame, size: str, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 1024, seed: str = "mix") -> DataFrame:
+def mix_documents(docs: DataFrame, size: str, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 1024, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
     """Light rows ``doc_id, source, size`` -> one row for each with ``source_size, target`` and the words
-    the mix takes of its first and second reading (``first_words, second_words``; from the front).
+    the mix takes of its first and second reading (``first_words, second_words``; from the front), and
+    the columns ``carry``, which also put rows in order that are equal else.
 
     The documents of a source, shuffled by a hash, form a stream that is read up to twice and cut
     into blocks of ``block`` words; the slot of rank k takes block k, the last one up to the target.
@@ -74,12 +75,12 @@ def mix_documents(docs: DataFrame, size: str, weights: tuple[int, ...] = (3, 1,
     Defined cases: null sizes count 0, a null source is a source of its own, equal rows are
     neighbours in the stream, an empty table gives an empty result.
     """
-    rows = written(docs.select("doc_id", "source", F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size")), "sizes")
+    rows = written(docs.select("doc_id", "source", F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), *carry), "sizes")
     rows = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     rows = rows.withColumn("_one", F.lit(1).cast("long"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = written(source_targets(sizes, weights, share, cap), "targets")
-    at = global_prefix_sums(rows, ["_h", "doc_id", "size"], {"_from": "size", "_n": "_one"}, ["source"])
+    at = global_prefix_sums(rows, ["_h", "doc_id", "size", *carry], {"_from": "size", "_n": "_one"}, ["source"])
     t = targets.select(F.col("source").alias("_s"), "source_size", "target")
     # Sources are few or many: Spark broadcasts them if small, else joins by key and splits a hot one.
     at = at.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_h", "_one")
@@ -94,4 +95,4 @@ def mix_documents(docs: DataFrame, size: str, weights: tuple[int, ...] = (3, 1,
            .agg(F.sum(F.when(F.col("_e.epoch") == 0, taken)).alias("_t0"), F.sum(F.when(F.col("_e.epoch") == 1, taken)).alias("_t1")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return (at.join(got, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_n") == F.col("_m")), "left")
-            .select("doc_id", "source", "size", "source_size", "target", zero("_t0").alias("first_words"), zero("_t1").alias("second_words")))
+            .select("doc_id", "source", "size", "source_size", "target", zero("_t0").alias("first_words"), zero("_t1").alias("second_words"), *carry))

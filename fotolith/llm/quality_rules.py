@@ -48,8 +48,9 @@ def count_statistics(blobs: list[bytes]) -> dict[str, np.ndarray]:
     return out | {"n_dup_lines": dup, "n_lines": lines, "n_ended": ended}
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the counts of every whole text; null texts count as empty."""
+def statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id`` and the counts of every whole text, and the columns ``carry`` as they are; null texts count
+    as empty."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -58,9 +59,10 @@ def statistics(docs: DataFrame) -> DataFrame:
             blobs = [b or b"" for b in batch.column(1).cast(pa.binary()).to_pylist()]
             for lo, hi in chunks(blobs):
                 s = count_statistics(blobs[lo:hi])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *[pa.array(s[c], pa.int64()) for c in COUNTS]], ["doc_id", *COUNTS])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *[pa.array(s[c], pa.int64()) for c in COUNTS], *[batch.column(2 + i)[lo:hi] for i in range(len(carry))]], ["doc_id", *COUNTS, *carry])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    types = [*[f"{c} long" for c in COUNTS], *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry]]
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *carry).mapInArrow(run, "doc_id long, " + ", ".join(types))
 
 
 def with_ratios(stats: DataFrame) -> DataFrame:
@@ -168,8 +170,8 @@ def calibrate(scores: DataFrame, labels: DataFrame, loss: float = 0.002) -> floa
     return cut
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 50, max_repeat: int = 50, loss: float = 0.002, trees: int = 100, rows: int = 256) -> DataFrame:
-    """``doc_id``, the rule counts, :data:`RATIOS`, ``anomaly``, ``base_failed`` and ``kept``.
+def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 50, max_repeat: int = 50, loss: float = 0.002, trees: int = 100, rows: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the rule counts, the columns ``carry``, :data:`RATIOS`, ``anomaly``, ``base_failed`` and ``kept``.
 
     The forest is grown on rows that pass the base rules and are labelled good (all that pass, if none is).
 
@@ -179,7 +181,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 50, max_r
     texts count as empty and fail the base rules; repeated doc_ids are judged by their own texts.
     """
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
-    ratios = written(with_ratios(statistics(docs)).withColumn("base_failed", failed), "rule-statistics")
+    ratios = written(with_ratios(statistics(docs, carry)).withColumn("base_failed", failed), "rule-statistics")
     passed = ratios.where(~F.col("base_failed"))
     good = passed.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
     forest = fit_forest(good, trees, rows)

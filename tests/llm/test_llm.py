@@ -326,3 +326,62 @@ def test_pipeline(spark):
     mixed = corpus_pipeline.mix(spark, docs, SF).toPandas()
     taken = run(spark, "op3_mixing")
     assert sum(len(words(t)) for t in mixed.text) == taken.taken.sum()
+
+
+def brute_fronts(rows):
+    """Of keyed rows (key, doc_id, text, source): the texts that the mix gives for each key, by prefix sums."""
+    size = {r[0]: len(words(r[2])) for r in rows}
+    sources = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[r[0]] for r in rows if r[3] == s) for s in sources}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sources)}
+    target, free, left = {}, set(sources), 1.5 * sum(total.values())
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if 2 * total[s] <= level * weight[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in free}
+            break
+        target |= {s: 2 * total[s] for s in full}
+        left -= sum(2 * total[s] for s in full)
+        free -= full
+    out = []
+    for s in sources:
+        own = sorted((r for r in rows if r[3] == s), key=lambda r: (hashlib.md5(f"mix:{'' if r[1] is None else r[1]}".encode()).hexdigest(), r[1] is not None, r[1] or 0, size[r[0]], r[0]))
+        at = 0
+        for r in own * 2:
+            n = min(size[r[0]], int(target[s]) - at)
+            if n > 0:
+                out.append((r[1], " ".join(words(r[2])[:n])))
+            at += size[r[0]]
+    return out
+
+
+def test_stages_tell_rows_apart_by_key(spark, odd, monkeypatch):
+    """Null doc_ids stay, a doc_id's other row doesn't save a text, equal rows are one group, and the mix
+    holds as many words as its targets."""
+    import corpus_pipeline as cp
+
+    docs = odd.drop("score")
+    texts = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    named = cp.language(spark, base, SF).where("n_chars > 500").orderBy("doc_id").limit(2)
+    clash = named.withColumn("doc_id", F.lit(None).cast("long")).unionByName(named.withColumn("text", F.lit("1 2 3")))
+    got = cp.language(spark, base.unionByName(clash), SF).join(named.select(F.col("doc_id").alias("d")), F.col("doc_id").isNull() | (F.col("doc_id") == F.col("d")), "left_semi")
+    assert got.columns == base.columns and [t for _, t in texts(got) if t == "1 2 3"] == [] and sum(d is None for d, _ in texts(got)) == 2
+    monkeypatch.setattr(cp.quality_rules.quality_rules, "__defaults__", (2, 50, 0.002, 100, 256, ()))
+    ruled = texts(cp.rules(spark, docs, SF))
+    assert (None, "x y z w") in ruled and (6, "a b c d e f") in ruled and (6, "q") not in ruled
+    monkeypatch.undo()
+    pairs = [(7, "p q r s t u", "en", "a", 1), (7, "p q r s t u", "en", "a", 1), (None, "k l m n o p", "en", "a", 1), (None, "k l m n o p", "en", "a", 1), (None, "p q r s t u", "en", "a", 1)]
+    both = docs.unionByName(spark.createDataFrame(pairs, docs.schema))
+    near = texts(cp.near_duplicates(spark, both, SF))
+    want = [r[:2] for r in ODD if r[:2] != (6, "a b c d e f")] + [(7, "p q r s t u"), (None, "k l m n o p")]
+    assert near == sorted(want, key=str)
+    mixed = cp.mix(spark, both, SF)
+    assert mixed.columns == docs.columns
+    rows = [(i, r[0], r[1], r[3]) for i, r in enumerate([*ODD, *pairs])]
+    assert [(d, " ".join(words(t))) for d, t in texts(mixed)] == sorted(brute_fronts(rows), key=str)
+    assert sum(len(words(t)) for _, t in texts(mixed)) <= 2 * sum(len(words(r[2])) for r in rows)
+    cp.keyed(both)
+    monkeypatch.setattr(cp, "table", lambda s, d, n: both if n == "documents" else table(s, d, n))
+    assert set(cp.run(spark, SF).columns) >= {"doc_id", "sequence_id"}
