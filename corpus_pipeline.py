@@ -29,12 +29,15 @@ def keep(rows: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.join(wanted.select(ROW), ROW, "left_semi").select(*[c for c in docs.columns if c in (*COLUMNS, ROW)])
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
-    """Documents whose language the field tells: a label with at least ``least`` of the mass. The others
-    (no letters, or no language with half of the words) go."""
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the field tells, code-switched ones too; those that are ``und``, without a
+    letter, go. If the learning folds have no lang, no language can be told and all with a letter stay."""
     rows = keyed(docs)
-    told = langid.predict(rows.select(F.col(ROW).alias("doc_id"), "text"), language_model(rows)).withColumnRenamed("doc_id", ROW)
-    return keep(rows, told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)), docs)
+    model = language_model(rows)
+    if not model.labels:
+        return keep(rows, rows.where(F.col("text").rlike(r"\p{L}")), docs)
+    told = langid.predict(rows.select(F.col(ROW).alias("doc_id"), "text"), model).withColumnRenamed("doc_id", ROW)
+    return keep(rows, told.where("lang_pred <> 'und'"), docs)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

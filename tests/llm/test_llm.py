@@ -385,3 +385,17 @@ def test_stages_tell_rows_apart_by_key(spark, odd, monkeypatch):
     cp.keyed(both)
     monkeypatch.setattr(cp, "table", lambda s, d, n: both if n == "documents" else table(s, d, n))
     assert set(cp.run(spark, SF).columns) >= {"doc_id", "sequence_id"}
+
+
+def test_language_stage_keeps_mixed_texts_and_works_without_labels(spark, odd):
+    import corpus_pipeline as cp
+
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    plain = base.where("lang is not null and n_chars > 1000").groupBy("lang").agg(F.min("doc_id").alias("doc_id")).join(base, ["doc_id", "lang"]).orderBy("lang").toPandas()
+    assert len(plain) >= 4
+    mixed = " ".join(" ".join(words(t)[:40]) for t in plain.text)
+    got = cp.language(spark, base.unionByName(spark.createDataFrame([(-1, mixed, None, "a", len(mixed)), (-2, "1 2 3", None, "a", 5)], base.schema)), SF)
+    assert [r["doc_id"] for r in got.where("doc_id < 0").collect()] == [-1]
+    bare = odd.drop("score").withColumn("lang", F.lit(None).cast("string"))
+    kept = [r["text"] for r in cp.language(spark, bare, SF).collect()]
+    assert sorted(kept) == sorted(r[1] for r in ODD if any(c.isalpha() for c in r[1] or ""))
