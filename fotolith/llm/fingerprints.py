@@ -6,8 +6,9 @@ it doesn't depend on the paragraphs' order, and a paragraph is added to or taken
 by one vector addition. A vector has two parts:
 
 * EXACT lanes, uniform modulo 2**64 (from BLAKE2b): equal fingerprints mean equal multisets;
-* NEAR lanes, modulo 2**16: each 3-word shingle of the paragraph adds 1 to or takes 1 from one lane,
-  so the sums are a signed sketch of the shingle counts and inner products estimate overlap.
+* NEAR lanes, modulo 2**32, which no text of under 2 GB overflows: each 3-word shingle of the paragraph
+  adds 1 to or takes 1 from one lane, so the sums are a signed sketch of the shingle counts and inner
+  products estimate overlap.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 
 def paragraph_vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Summed vectors of each text: (texts, EXACT) modulo 2**64 and (texts, NEAR) modulo 2**16. The empty
+    """Summed vectors of each text: (texts, EXACT) modulo 2**64 and (texts, NEAR) modulo 2**32. The empty
     text is the empty multiset; otherwise each part between newlines counts, empty ones too."""
     exact = np.zeros((len(texts), EXACT), np.uint64)
     near = np.zeros((len(texts), NEAR), np.int64)
@@ -48,24 +49,24 @@ def paragraph_vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lane = (sh % U(NEAR)).astype(np.int64)
         sign = np.where((sh >> U(40)) & U(1), 1.0, -1.0)
         near = np.bincount(doc * NEAR + lane, weights=sign, minlength=len(texts) * NEAR).astype(np.int64).reshape(len(texts), NEAR)
-    return exact, near & 0xFFFF
+    return exact, near & 0xFFFFFFFF
 
 
 def add(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], sign: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint vectors of the union of two multisets, or with sign -1 of what is left of the first."""
-    return (a[0] + b[0] if sign > 0 else a[0] - b[0]), (a[1] + sign * b[1]) & 0xFFFF
+    return (a[0] + b[0] if sign > 0 else a[0] - b[0]), (a[1] + sign * b[1]) & 0xFFFFFFFF
 
 
 def to_strings(exact: np.ndarray, near: np.ndarray) -> list[str]:
     """Hex of the EXACT lanes and of the NEAR lanes, little-endian, after each other."""
-    e, n = exact.astype("<u8"), near.astype("<u2")
+    e, n = exact.astype("<u8"), near.astype("<u4")
     return [e[i].tobytes().hex() + n[i].tobytes().hex() for i in range(len(e))]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """2 a.b / (a.a + b.b) of NEAR lanes read as signed numbers, cut to 0..1: about the share of shingle
     counts that two texts have in common. Two empty sketches are alike (1)."""
-    a, b = (np.where(x >= 0x8000, x - 0x10000, x).astype(float) for x in (a, b))
+    a, b = (np.where(x >= 1 << 31, x - (1 << 32), x).astype(float) for x in (a, b))
     both = (a * a).sum(-1) + (b * b).sum(-1)
     return np.where(both > 0, np.clip(2 * (a * b).sum(-1) / np.where(both > 0, both, 1), 0, 1), 1.0)
 

@@ -399,3 +399,11 @@ def test_language_stage_keeps_mixed_texts_and_works_without_labels(spark, odd):
     bare = odd.drop("score").withColumn("lang", F.lit(None).cast("string"))
     kept = [r["text"] for r in cp.language(spark, bare, SF).collect()]
     assert sorted(kept) == sorted(r[1] for r in ODD if any(c.isalpha() for c in r[1] or ""))
+
+
+def test_likeness_of_a_long_repeated_passage():
+    """Counts of a lane beyond 32,767 and 65,536: texts of n and n / 2 copies overlap by 0.8."""
+    for n in (40_000, 65_536, 140_000):
+        v = fingerprints.paragraph_vectors([b"a " * n, b"a " * (n // 2)])[1]
+        assert abs(fingerprints.likeness(v[:1], v[1:])[0] - 0.8) < 1e-3
+        assert fingerprints.likeness(v[:1], fingerprints.paragraph_vectors([b""])[1])[0] == 0
