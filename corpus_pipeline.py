@@ -57,12 +57,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in their sources' target shares: those the mix reads twice come twice, those it
-    doesn't reach go, and where a target ends inside a document its text ends after that word."""
+    doesn't reach go, and where a target ends inside a document its text ends after that word. Each copy
+    stands at the slot of the mix in which it begins: that is the order of the rows, and of the part
+    files by name when they are written."""
     keys = keyed(docs)
     taken = mixing.mix_documents(keys.select("doc_id", "source", word_count().alias("size"), ROW), "size", carry=(ROW,))
-    times = F.filter(F.array("first_words", "second_words"), lambda n: n > 0)
-    copies = taken.select(ROW, "size", F.explode(times).alias("words"))
-    rows = keys.join(copies, ROW)
+    reading = lambda e, name: F.struct(F.col(f"{name}_words").alias("words"), F.col(f"{name}_slot").alias("slot"), F.lit(e).alias("epoch"))
+    times = F.filter(F.array(reading(0, "first"), reading(1, "second")), lambda r: r["words"] > 0)
+    copies = taken.select(ROW, "size", "position", F.inline(times))
+    rows = keys.join(copies, ROW).orderBy("slot", "epoch", "position")
     # The front of a text up to its n-th word, as it stands there: parts end where words end.
     parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     front = F.array_join(F.slice(parts, F.lit(1), F.col("words").cast("int")), "")

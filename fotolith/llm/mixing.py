@@ -64,35 +64,54 @@ def schedule(targets: DataFrame, block: int = 1024) -> DataFrame:
     return ranked.where("rank < blocks").select("slot", "source", "rank")
 
 
-def mix_documents(docs: DataFrame, size: str, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 1024, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Light rows ``doc_id, source, size`` -> one row for each with ``source_size, target`` and the words
-    the mix takes of its first and second reading (``first_words, second_words``; from the front), and
-    the columns ``carry``, which also put rows in order that are equal else.
-
-    The documents of a source, shuffled by a hash, form a stream that is read up to twice and cut
-    into blocks of ``block`` words; the slot of rank k takes block k, the last one up to the target.
-
-    Defined cases: null sizes count 0, a null source is a source of its own, equal rows are
-    neighbours in the stream, an empty table gives an empty result.
-    """
+def _dealt(docs: DataFrame, size: str, weights: tuple[int, ...], share: float, cap: float, block: int, seed: str, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The rows with their ``position`` in their source's stream, and the pieces of :func:`mix_pieces`."""
     rows = written(docs.select("doc_id", "source", F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), *carry), "sizes")
     rows = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     rows = rows.withColumn("_one", F.lit(1).cast("long"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = written(source_targets(sizes, weights, share, cap), "targets")
-    at = global_prefix_sums(rows, ["_h", "doc_id", "size", *carry], {"_from": "size", "_n": "_one"}, ["source"])
+    at = global_prefix_sums(rows, ["_h", "doc_id", "size", *carry], {"_from": "size", "position": "_one"}, ["source"])
     t = targets.select(F.col("source").alias("_s"), "source_size", "target")
     # Sources are few or many: Spark broadcasts them if small, else joins by key and splits a hot one.
     at = at.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_h", "_one")
     span = lambda e: F.struct(F.lit(e).alias("epoch"), (F.col("_from") + e * F.col("source_size")).alias("a"), F.least(F.col("_from") + F.col("size") + e * F.col("source_size"), F.floor("target")).alias("b"))
     reading = at.where("size > 0").withColumn("_e", F.explode(F.array(span(0), span(1)))).where("_e.b > _e.a")
     blocks = F.sequence(F.floor(F.col("_e.a") / block), F.floor((F.col("_e.b") - 1) / block))
-    wanted = reading.select("source", "_n", "_e", F.explode(blocks).alias("rank"))
-    slots = schedule(targets, block).select(F.col("source").alias("_s"), F.col("rank").alias("_r"))
-    taken = F.least(F.col("_e.b"), (F.col("rank") + 1) * block) - F.greatest(F.col("_e.a"), F.col("rank") * block)
-    got = (wanted.join(slots, F.col("source").eqNullSafe(F.col("_s")) & (F.col("rank") == F.col("_r")))
-           .groupBy(F.col("source").alias("_s"), F.col("_n").alias("_m"))
-           .agg(F.sum(F.when(F.col("_e.epoch") == 0, taken)).alias("_t0"), F.sum(F.when(F.col("_e.epoch") == 1, taken)).alias("_t1")))
+    wanted = reading.select("source", "position", "doc_id", *carry, "_e", F.explode(blocks).alias("rank"))
+    slots = schedule(targets, block).select(F.col("source").alias("_s"), F.col("rank").alias("_r"), "slot")
+    begin = F.greatest(F.col("_e.a"), F.col("rank") * block)
+    words = F.least(F.col("_e.b"), (F.col("rank") + 1) * block) - begin
+    pieces = wanted.join(slots, F.col("source").eqNullSafe(F.col("_s")) & (F.col("rank") == F.col("_r")))
+    return at, pieces.select("slot", "rank", "source", "position", "doc_id", *carry, F.col("_e.epoch").alias("epoch"), (begin - F.col("_e.a")).alias("from"), words.alias("words"))
+
+
+def mix_pieces(docs: DataFrame, size: str, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 1024, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The mix itself: ``slot, rank, source, position, doc_id``, the columns ``carry``, ``epoch, from, words``.
+
+    Each row is the run of ``words`` words of a document, from its word ``from`` on, that stands in the
+    slot; the slot draws block ``rank`` of the source. The mix's order is slot, epoch, position.
+    """
+    return _dealt(docs, size, weights, share, cap, block, seed, carry)[1]
+
+
+def mix_documents(docs: DataFrame, size: str, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 1024, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Light rows ``doc_id, source, size`` -> one row for each with ``source_size, target`` and the words
+    the mix takes of its first and second reading (``first_words, second_words``; from the front), the
+    slots in which these begin (``first_slot, second_slot``; null if nothing is taken), the
+    ``position`` in its source's stream, and the columns ``carry``, which also put rows in order that
+    are equal else.
+
+    The documents of a source, shuffled by a hash, form a stream that is read up to twice and cut
+    into blocks of ``block`` words; the slot of rank k takes block k, the last one up to the target.
+
+    Defined cases: null sizes count 0, a null source is a source of its own, equal rows are
+    neighbours in the stream, an empty table gives an empty result.
+    """
+    at, pieces = _dealt(docs, size, weights, share, cap, block, seed, carry)
+    of = lambda e, c: F.when(F.col("epoch") == e, F.col(c))
+    got = (pieces.groupBy(F.col("source").alias("_s"), F.col("position").alias("_m"))
+           .agg(*[F.sum(of(e, "words")).alias(f"_t{e}") for e in (0, 1)], F.min(of(0, "slot")).alias("first_slot"), F.min(of(1, "slot")).alias("second_slot")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return (at.join(got, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_n") == F.col("_m")), "left")
-            .select("doc_id", "source", "size", "source_size", "target", zero("_t0").alias("first_words"), zero("_t1").alias("second_words"), *carry))
+    return (at.join(got, F.col("source").eqNullSafe(F.col("_s")) & (F.col("position") == F.col("_m")), "left")
+            .select("doc_id", "source", "size", "source_size", "target", zero("_t0").alias("first_words"), zero("_t1").alias("second_words"), "first_slot", "second_slot", "position", *carry))

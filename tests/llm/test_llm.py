@@ -407,3 +407,23 @@ def test_likeness_of_a_long_repeated_passage():
         v = fingerprints.paragraph_vectors([b"a " * n, b"a " * (n // 2)])[1]
         assert abs(fingerprints.likeness(v[:1], v[1:])[0] - 0.8) < 1e-3
         assert fingerprints.likeness(v[:1], fingerprints.paragraph_vectors([b""])[1])[0] == 0
+
+
+def test_mix_stands_in_slot_order(spark, docs):
+    """Pieces are those that the schedule draws, sources alternate evenly, and the pipeline's mix follows."""
+    import corpus_pipeline as cp
+
+    table_ = spark.read.parquet(f"{SF}/documents.parquet")
+    light = table_.select("doc_id", "source", queries.word_count().alias("size"))
+    p = mixing.mix_pieces(light, "size").toPandas().sort_values(["slot", "epoch", "position"])
+    assert p.groupby("slot").source.nunique().max() == 1 and p.groupby("slot").words.sum().max() <= 1024
+    for _, g in p.sort_values("from").groupby(["doc_id", "epoch"]):
+        assert g["from"].tolist() == [0, *np.cumsum(g.words)[:-1]] and (np.diff(g.slot) > 0).all()
+    n = {r.doc_id: len(words(r.text)) for r in docs.itertuples()}
+    assert all(a + b <= n[d] for d, a, b in zip(p.doc_id, p["from"], p.words, strict=True))
+    drawn = p.drop_duplicates("slot").source
+    for s, total in drawn.value_counts().items():
+        run = (drawn == s).cumsum().to_numpy() - np.arange(1, len(drawn) + 1) * total / len(drawn)
+        assert abs(run).max() <= 2 + np.log2(len(drawn))
+    want = p.drop_duplicates(["doc_id", "epoch"]).doc_id.tolist()
+    assert [r["doc_id"] for r in cp.mix(spark, table_, SF).select("doc_id").collect()] == want
