@@ -136,8 +136,8 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """``node, comp`` of every node of the edges ``a, b``: comp is the smallest node reachable.
 
     Alternates large-star and small-star steps on the edge table, each of which keeps the number of
-    edges and at least halves the distance to the smallest node, until nothing changes; each round is
-    written to the shared folder. A node's links are never gathered: both steps use a minimum that
+    edges and at least halves the distance to the smallest node, until nothing changes (an error after
+    ``rounds`` rounds); each round is written to the shared folder. A node's links are never gathered: both steps use a minimum that
     is pre-aggregated before the shuffle and joined back.
     """
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
@@ -154,6 +154,8 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
             e = new
             break
         e = new
+    else:
+        raise RuntimeError(f"components not found in {rounds} rounds")
     own = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return own.union(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 

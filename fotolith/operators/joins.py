@@ -157,20 +157,28 @@ def duel_rewrite(duels: DataFrame, files: DataFrame) -> DataFrame:
     return stems.join(files.select("photo_id", "stem_path"), "stem_path").select("photo_id", "label").distinct()
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """``photo_id, cluster`` by minimum label passing with pointer jumping; each round is checkpointed in
-    the shared folder, and the loop ends when a round changes nothing."""
+def connected_components(vertices: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """``photo_id, cluster``: the smallest photo_id that is linked, over any number of links.
+
+    Large-star and small-star steps on the edge table, each of which at least halves the distance to
+    the smallest node whatever the order of ids on a path, until nothing changes (an error after
+    ``rounds`` rounds); each round is checkpointed in the shared folder.
+    """
     from ..functions.session import written
 
-    two = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    own = written(vertices.select("photo_id", F.col("photo_id").alias("cluster")))
+    ids = vertices.select("photo_id").distinct()
+    known = edges.select("a", "b").join(ids.select(F.col("photo_id").alias("a")), "a", "left_semi").join(ids.select(F.col("photo_id").alias("b")), "b", "left_semi")
+    e = written(known.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(rounds):
-        near = two.join(own, two["b"] == own["photo_id"]).groupBy("a").agg(F.min("cluster").alias("least"))
-        step = own.join(near, own["photo_id"] == near["a"], "left").select("photo_id", F.least("cluster", "least").alias("cluster"))
-        root = step.select(F.col("photo_id").alias("r"), F.col("cluster").alias("root"))
-        new = written(step.join(root, step["cluster"] == root["r"]).select("photo_id", "cluster", "root").select("photo_id", F.least("cluster", "root").alias("cluster")))
-        old = own.select("photo_id", F.col("cluster").alias("was"))
-        if new.join(old, "photo_id").where("cluster <> was").isEmpty():
+        two = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = two.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = two.join(low, "u").select(F.greatest("u", "v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low2, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        e = written(small)
+        # Done when each node has one smaller neighbour that has none itself: a forest of stars.
+        if e.groupBy("u").count().where("count > 1").isEmpty() and e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
             break
-        own = new
-    return own
+    else:
+        raise RuntimeError(f"components not found in {rounds} rounds")
+    return vertices.select("photo_id").join(e.select(F.col("u").alias("photo_id"), F.col("v").alias("cluster")), "photo_id", "left").select("photo_id", F.coalesce("cluster", "photo_id").alias("cluster"))

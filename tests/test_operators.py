@@ -113,3 +113,18 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
 @pytest.mark.parametrize("name", ["decision_pipeline", "coverage_promote", "assign_identities", "discover_scenes", "taste_scores"])
 def test_rows_only_queries_run(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
+
+
+def test_components_of_a_long_path_against_the_order_of_ids(spark):
+    """The path 0, L, L - 1, ..., 1 is one component; a bound that is met is an error."""
+    n = 40
+    path = [0, *range(n, 0, -1)]
+    photos = spark.range(n + 2).select(F.col("id").alias("photo_id"))
+    pairs = spark.createDataFrame(list(zip(path, path[1:])), "a long, b long").coalesce(1)
+    assert rows(joins.connected_components(photos, pairs)) == [*[(i, 0) for i in range(n + 1)], (n + 1, n + 1)]
+    from fotolith.llm import neardup
+
+    assert rows(neardup.connected_components(pairs)) == [(i, 0) for i in range(n + 1)]
+    for f in (lambda: joins.connected_components(photos, pairs, 1), lambda: neardup.connected_components(pairs, 1)):
+        with pytest.raises(RuntimeError):
+            f()
