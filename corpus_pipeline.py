@@ -2,13 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which :func:`run` writes as Parquet
 to the shared folder and reads again as the next stage's docs. All stages but the last return the
-columns of ``documents``. Verdicts go back to rows by a row key, which :func:`run` adds once and which
-a stage that is called alone adds for itself: doc_ids may be null or repeat.
+columns of ``documents``. Verdicts go back to rows by a row key, since doc_ids may be null or repeat.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fotolith.llm import langid, mixing, neardup, packing, quality_rules
@@ -20,13 +20,23 @@ ROW = "_row"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of each row, written so that it stays the same when a plan runs again."""
-    return docs if ROW in docs.columns else written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    """``docs`` with a key of each row that stays the same when a plan runs again: the number of its file,
+    by name, and its place in it. What isn't a table read from files is written first."""
+    try:
+        # Only a plan that is nothing but the read has each place once.
+        at = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")) if docs._jdf.queryExecution().analyzed().children().isEmpty() else None
+    except AnalysisException:
+        at = None
+    if at is None:
+        return keyed(written(docs, "rows"))
+    files = at.select("_file").distinct().select(F.col("_file").alias("_name"), F.row_number().over(Window.orderBy("_file")).cast("long").alias("_number"))
+    # One row for each file.
+    return at.join(F.broadcast(written(files, "files")), F.col("_file") == F.col("_name")).select(*docs.columns, (F.shiftleft("_number", 40) + F.col("_at")).alias(ROW))
 
 
-def keep(rows: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the keyed ``rows`` that ``wanted`` holds, with the columns of the stage's ``docs``."""
-    return rows.join(wanted.select(ROW), ROW, "left_semi").select(*[c for c in docs.columns if c in (*COLUMNS, ROW)])
+def keep(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of the keyed ``rows`` that ``wanted`` holds."""
+    return rows.join(wanted.select(ROW), ROW, "left_semi").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,15 +45,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs)
     model = language_model(rows)
     if not model.labels:
-        return keep(rows, rows.where(F.col("text").rlike(r"\p{L}")), docs)
+        return keep(rows, rows.where(F.col("text").rlike(r"\p{L}")))
     told = langid.predict(rows.select(F.col(ROW).alias("doc_id"), "text"), model).withColumnRenamed("doc_id", ROW)
-    return keep(rows, told.where("lang_pred <> 'und'"), docs)
+    return keep(rows, told.where("lang_pred <> 'und'"))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the forest."""
     rows = keyed(docs)
-    return keep(rows, quality_rules.quality_rules(rows, table(spark, sf_dir, "labels"), carry=(ROW,)).where("kept"), docs)
+    return keep(rows, quality_rules.quality_rules(rows, table(spark, sf_dir, "labels"), carry=(ROW,)).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +62,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = keyed(docs)
     group = neardup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW))
-    return keep(rows, group.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first.alias("first")).select(f"first.{ROW}"), docs)
+    return keep(rows, group.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first.alias("first")).select(f"first.{ROW}"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,7 +96,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = keyed(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs

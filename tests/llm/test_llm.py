@@ -382,7 +382,8 @@ def test_stages_tell_rows_apart_by_key(spark, odd, monkeypatch):
     rows = [(i, r[0], r[1], r[3]) for i, r in enumerate([*ODD, *pairs])]
     assert [(d, " ".join(words(t))) for d, t in texts(mixed)] == sorted(brute_fronts(rows), key=str)
     assert sum(len(words(t)) for _, t in texts(mixed)) <= 2 * sum(len(words(r[2])) for r in rows)
-    cp.keyed(both)
+    two = cp.keyed(cp.written(both.repartition(3), "test"))
+    assert two.select(cp.ROW).distinct().count() == two.count() == len(rows)
     monkeypatch.setattr(cp, "table", lambda s, d, n: both if n == "documents" else table(s, d, n))
     assert set(cp.run(spark, SF).columns) >= {"doc_id", "sequence_id"}
 
