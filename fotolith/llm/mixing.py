@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 from .sharding import global_prefix_sums
 
+
 def van_der_corput(i: Column, bits: int) -> Column:
     """The point of slot ``i`` as an integer below 2**bits: its binary digits in reverse order."""
     return F.conv(F.reverse(F.lpad(F.bin(i), bits, "0")), 2, 10).cast("long")
@@ -20,20 +21,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     Sources are put by code point, null last, and get the weights in turn. The level at which
     sources fill up is found in one pass: in order of cap over weight, the words per weight left after
     the caps before rise up to the first source that they don't fill and fall after it, so the level
-    is their maximum. Runs on one row for each source.
+    is their maximum. Both orders are prefix sums over partitions, since sources may be many.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    s = sizes.withColumn("weight", w).withColumn("_cap", F.col("source_size") * F.lit(float(cap)))
-    order = Window.orderBy(F.col("_cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    left = F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
-    s = s.withColumn("_level", left / F.sum("weight").over(after))
-    s = s.withColumn("_level", F.max("_level").over(everything))
-    fits = F.least(F.col("_cap"), F.col("_level") * F.col("weight"))
-    return s.select("source", "source_size", "weight", fits.alias("target"))
+    one, last, nth, full, per, caps, heavy = fresh("one", "last", "nth", "full", "per", "caps", "heavy")
+    s = sizes.select("source", "source_size", F.lit(1).cast("long").alias(one), F.col("source").isNull().alias(last))
+    s = global_prefix_sums(s, [last, "source"], {nth: one})
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col(nth) % len(weights) + 1).cast("int"))
+    s = s.withColumn("weight", w).withColumn(full, F.col("source_size") * F.lit(float(cap))).withColumn(per, F.col(full) / F.col("weight"))
+    s = global_prefix_sums(s, [per, last, "source"], {caps: full, heavy: "weight"})
+    size, weight = s.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = s.agg(F.max((F.lit(float(size or 0)) * F.lit(float(share)) - F.col(caps)) / (F.lit(weight or 1.0) - F.col(heavy)))).first()[0] or 0.0
+    return s.select("source", "source_size", "weight", F.least(F.col(full), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def schedule(targets: DataFrame, block: int = 1024) -> DataFrame:
@@ -46,44 +44,51 @@ def schedule(targets: DataFrame, block: int = 1024) -> DataFrame:
     its need are left out.
     """
     spark = targets.sparkSession
-    need = targets.withColumn("blocks", F.ceil(F.floor("target") / F.lit(block)).cast("long")).where("blocks > 0")
-    run = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    need = need.withColumn("_from", F.coalesce(F.sum("blocks").over(run), F.lit(0)))
+    last, before, lo, hi, cell_, point, one = fresh("last", "before", "lo", "hi", "cell", "point", "one")
+    need = targets.select("source", F.ceil(F.floor("target") / F.lit(block)).cast("long").alias("blocks"), F.col("source").isNull().alias(last)).where("blocks > 0")
+    need = global_prefix_sums(need, [last, "source"], {before: "blocks"})
     total = need.agg(F.sum("blocks")).first()[0] or 0
     if not total:
         return spark.createDataFrame([], "slot long, source string, rank long")
     bits = max(1, (2 * total - 1).bit_length())
-    scale = lambda c: F.floor(c.cast("decimal(30,0)") * F.lit(1 << bits).cast("decimal(20,0)") / F.lit(total)).cast("long")
-    need = need.withColumn("_lo", scale(F.col("_from"))).withColumn("_hi", scale(F.col("_from") + F.col("blocks")))
+    scale = lambda c: F.expr(f"CAST((CAST({c} AS DECIMAL(19, 0)) * CAST({1 << bits} AS DECIMAL(19, 0))) DIV CAST({total} AS DECIMAL(19, 0)) AS BIGINT)")
+    need = need.withColumn(lo, scale(before)).withColumn(hi, scale(f"({before} + blocks)"))
     # Each source's interval is cut at the borders of equal cells; points meet intervals by cell.
     cell = max(0, bits - 10)
-    pieces = need.select("source", "blocks", "_lo", "_hi", F.explode(F.sequence(F.shiftright("_lo", cell), F.shiftright(F.col("_hi") - 1, cell))).alias("_cell"))
-    slots = spark.range(1 << bits).select(F.col("id").alias("slot"), van_der_corput(F.col("id"), bits).alias("_v")).withColumn("_cell", F.shiftright("_v", cell))
-    drawn = slots.join(pieces, "_cell").where("_v >= _lo and _v < _hi").select("slot", "source", "blocks").withColumn("_one", F.lit(1).cast("long"))
-    ranked = global_prefix_sums(drawn, ["slot"], {"rank": "_one"}, ["source"])
+    cells = F.sequence(F.shiftright(lo, cell), F.shiftright(F.col(hi) - 1, cell))
+    pieces = need.select("source", "blocks", lo, hi, F.explode(cells).alias(cell_))
+    slots = spark.range(1 << bits).select(F.col("id").alias("slot"), van_der_corput(F.col("id"), bits).alias(point)).withColumn(cell_, F.shiftright(point, cell))
+    drawn = slots.join(pieces, cell_).where((F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi))).select("slot", "source", "blocks", F.lit(1).cast("long").alias(one))
+    ranked = global_prefix_sums(drawn, ["slot"], {"rank": one}, ["source"])
     return ranked.where("rank < blocks").select("slot", "source", "rank")
 
 
 def _dealt(docs: DataFrame, size: str, weights: tuple[int, ...], share: float, cap: float, block: int, seed: str, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """The rows with their ``position`` in their source's stream, and the pieces of :func:`mix_pieces`."""
+    taken = {"doc_id", "source", "size", "source_size", "target", "position", "slot", "rank", "epoch", "from", "words"}
+    if taken.intersection(c.lower() for c in carry):
+        raise ValueError(f"carry can't be one of {sorted(taken)}")
+    h, one, start, s_, r_, e_ = fresh("hash", "one", "start", "source", "rank", "epoch")
     rows = written(docs.select("doc_id", "source", F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), *carry), "sizes")
-    rows = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    rows = rows.withColumn("_one", F.lit(1).cast("long"))
+    rows = rows.withColumn(h, F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    rows = rows.withColumn(one, F.lit(1).cast("long"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = written(source_targets(sizes, weights, share, cap), "targets")
-    at = global_prefix_sums(rows, ["_h", "doc_id", "size", *carry], {"_from": "size", "position": "_one"}, ["source"])
-    t = targets.select(F.col("source").alias("_s"), "source_size", "target")
+    at = global_prefix_sums(rows, [h, "doc_id", "size", *carry], {start: "size", "position": one}, ["source"])
+    t = targets.select(F.col("source").alias(s_), "source_size", "target")
     # Sources are few or many: Spark broadcasts them if small, else joins by key and splits a hot one.
-    at = at.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_h", "_one")
-    span = lambda e: F.struct(F.lit(e).alias("epoch"), (F.col("_from") + e * F.col("source_size")).alias("a"), F.least(F.col("_from") + F.col("size") + e * F.col("source_size"), F.floor("target")).alias("b"))
-    reading = at.where("size > 0").withColumn("_e", F.explode(F.array(span(0), span(1)))).where("_e.b > _e.a")
-    blocks = F.sequence(F.floor(F.col("_e.a") / block), F.floor((F.col("_e.b") - 1) / block))
-    wanted = reading.select("source", "position", "doc_id", *carry, "_e", F.explode(blocks).alias("rank"))
-    slots = schedule(targets, block).select(F.col("source").alias("_s"), F.col("rank").alias("_r"), "slot")
-    begin = F.greatest(F.col("_e.a"), F.col("rank") * block)
-    words = F.least(F.col("_e.b"), (F.col("rank") + 1) * block) - begin
-    pieces = wanted.join(slots, F.col("source").eqNullSafe(F.col("_s")) & (F.col("rank") == F.col("_r")))
-    return at, pieces.select("slot", "rank", "source", "position", "doc_id", *carry, F.col("_e.epoch").alias("epoch"), (begin - F.col("_e.a")).alias("from"), words.alias("words"))
+    at = at.join(t, F.col("source").eqNullSafe(F.col(s_))).drop(s_, h, one)
+    begin = lambda e: F.col(start) + e * F.col("source_size")
+    span = lambda e: F.struct(F.lit(e).alias("epoch"), begin(e).alias("a"), F.least(begin(e) + F.col("size"), F.floor("target")).alias("b"))
+    epoch, a, b = (F.col(f"{e_}.{x}") for x in ("epoch", "a", "b"))
+    reading = at.where("size > 0").withColumn(e_, F.explode(F.array(span(0), span(1)))).where(b > a)
+    blocks = F.sequence(F.floor(a / block), F.floor((b - 1) / block))
+    wanted = reading.select("source", "position", "doc_id", *carry, e_, F.explode(blocks).alias("rank"))
+    slots = schedule(targets, block).select(F.col("source").alias(s_), F.col("rank").alias(r_), "slot")
+    first = F.greatest(a, F.col("rank") * block)
+    words = F.least(b, (F.col("rank") + 1) * block) - first
+    pieces = wanted.join(slots, F.col("source").eqNullSafe(F.col(s_)) & (F.col("rank") == F.col(r_)))
+    return at.drop(start), pieces.select("slot", "rank", "source", "position", "doc_id", *carry, epoch.alias("epoch"), (first - a).alias("from"), words.alias("words"))
 
 
 def mix_pieces(docs: DataFrame, size: str, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 1024, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -98,20 +103,22 @@ def mix_pieces(docs: DataFrame, size: str, weights: tuple[int, ...] = (3, 1, 2),
 def mix_documents(docs: DataFrame, size: str, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 1024, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
     """Light rows ``doc_id, source, size`` -> one row for each with ``source_size, target`` and the words
     the mix takes of its first and second reading (``first_words, second_words``; from the front), the
-    slots in which these begin (``first_slot, second_slot``; null if nothing is taken), the
-    ``position`` in its source's stream, and the columns ``carry``, which also put rows in order that
-    are equal else.
+    slots in which these begin (``first_slot, second_slot``) and in which the last of them ends
+    (``last_slot``; slots are null if nothing is taken), the ``position`` in its source's stream, and
+    the columns ``carry``, which also put rows in order that are equal else.
 
     The documents of a source, shuffled by a hash, form a stream that is read up to twice and cut
     into blocks of ``block`` words; the slot of rank k takes block k, the last one up to the target.
 
     Defined cases: null sizes count 0, a null source is a source of its own, equal rows are
-    neighbours in the stream, an empty table gives an empty result.
+    neighbours in the stream, an empty table gives an empty result, a very long document stands in as
+    many slots as it has blocks, other columns don't pass through unless ``carry`` names them.
     """
     at, pieces = _dealt(docs, size, weights, share, cap, block, seed, carry)
+    s_, m_ = fresh("source", "position")
     of = lambda e, c: F.when(F.col("epoch") == e, F.col(c))
-    got = (pieces.groupBy(F.col("source").alias("_s"), F.col("position").alias("_m"))
-           .agg(*[F.sum(of(e, "words")).alias(f"_t{e}") for e in (0, 1)], F.min(of(0, "slot")).alias("first_slot"), F.min(of(1, "slot")).alias("second_slot")))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return (at.join(got, F.col("source").eqNullSafe(F.col("_s")) & (F.col("position") == F.col("_m")), "left")
-            .select("doc_id", "source", "size", "source_size", "target", zero("_t0").alias("first_words"), zero("_t1").alias("second_words"), "first_slot", "second_slot", "position", *carry))
+    got = (pieces.groupBy(F.col("source").alias(s_), F.col("position").alias(m_))
+           .agg(F.sum(of(0, "words")).alias("first_words"), F.sum(of(1, "words")).alias("second_words"), F.min(of(0, "slot")).alias("first_slot"), F.min(of(1, "slot")).alias("second_slot"), F.max("slot").alias("last_slot")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return (at.join(got, F.col("source").eqNullSafe(F.col(s_)) & (F.col("position") == F.col(m_)), "left")
+            .select("doc_id", "source", "size", "source_size", "target", zero("first_words"), zero("second_words"), "first_slot", "second_slot", "last_slot", "position", *carry))

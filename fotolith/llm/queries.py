@@ -34,7 +34,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"))
-    return mixing.mix_documents(docs, "size").select("doc_id", "size", "source_size", "target", (F.col("first_words") + F.col("second_words")).alias("taken"))
+    return mixing.mix_documents(docs, "size").select("doc_id", "size", "source_size", "target", (F.col("first_words") + F.col("second_words")).alias("taken"), "first_slot", "last_slot")
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,10 +90,32 @@ l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(2.0::DOUB
   / sum(w) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
 m AS (SELECT *, max(level) OVER () AS flat FROM l),
 t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, flat * w) AS target FROM m),
-p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM d)
-SELECT p.doc_id, p.size, t.source_size, t.target,
-  CAST(greatest(0, least(a + p.size, floor(t.target)) - a) + greatest(0, least(a + p.size + t.source_size, floor(t.target)) - (a + t.source_size)) AS BIGINT) AS taken
-FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM d),
+g AS (SELECT p.doc_id, p.source, p.size, t.source_size, t.target, a, a + t.source_size AS a2,
+  greatest(0, least(a + p.size, floor(t.target)) - a) AS n1, greatest(0, least(a + p.size + t.source_size, floor(t.target)) - (a + t.source_size)) AS n2
+  FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT source, CAST(ceil(floor(target) / 1024) AS HUGEINT) AS blocks FROM t WHERE floor(target) > 0),
+c AS (SELECT *, coalesce(sum(blocks) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS before, (sum(blocks) OVER ())::HUGEINT AS total FROM b),
+i AS (SELECT *, (before * points) // total AS lo, ((before + blocks) * points) // total AS hi FROM (SELECT *, CAST(power(2, bits) AS HUGEINT) AS points FROM (SELECT *, CAST(greatest(1, length(ltrim(bin(CAST(2 * total - 1 AS BIGINT)), '0'))) AS INT) AS bits FROM c))),
+v AS (SELECT slot, CAST(list_sum(list_transform(range(bits), lambda j: ((slot >> j) & 1) << (bits - 1 - j))) AS HUGEINT) AS point FROM (SELECT max(bits) AS bits FROM i), range(CAST((SELECT max(points) FROM i) AS BIGINT)) r(slot)),
+k AS (SELECT * FROM (SELECT slot, source, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM v JOIN i ON point >= lo AND point < hi) WHERE rank < blocks)
+SELECT g.doc_id, g.size, g.source_size, g.target, CAST(n1 + n2 AS BIGINT) AS taken, f.slot AS first_slot, e.slot AS last_slot FROM g
+LEFT JOIN k f ON f.source IS NOT DISTINCT FROM g.source AND n1 > 0 AND f.rank = CAST(floor(a / 1024) AS BIGINT)
+LEFT JOIN k e ON e.source IS NOT DISTINCT FROM g.source AND n1 > 0 AND e.rank = CAST(floor((CASE WHEN n2 > 0 THEN a2 + n2 ELSE a + n1 END - 1) / 1024) AS BIGINT)
+"""
+
+#: Equal texts stand together; a cut inside a group that fits in a shard moves to the group's nearer end.
+OP10_SQL = r"""
+WITH z AS (SELECT list(v ORDER BY i) AS steps FROM (SELECT i, list_reduce(range(8), lambda v, j: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i) AS v FROM range(256) x(i))),
+d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) + 1 AS size, md5(coalesce(text, '')) AS digest,
+  xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda v, y: xor(v >> 8, steps[xor(v & 255, y) + 1]), 4294967295), 4294967295) AS text_crc32 FROM documents, z),
+r AS (SELECT *, coalesce(sum(size) OVER w, 0) AS a, row_number() OVER (ORDER BY digest, doc_id NULLS FIRST) - 1 AS place, sum(size) OVER () AS total FROM d
+  WINDOW w AS (ORDER BY digest, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT digest, min(a) AS lo, max(a + size) AS hi FROM r GROUP BY digest),
+t AS (SELECT k, (total * k + 15) // 16 AS target, total FROM (SELECT max(total) AS total FROM r), range(1, 16) x(k)),
+c AS (SELECT k, coalesce(CASE WHEN (hi - lo) * 16 <= total THEN CASE WHEN target - lo <= hi - target THEN lo ELSE hi END END, target) AS cut FROM t LEFT JOIN g ON lo < target AND target < hi),
+s AS (SELECT r.*, (SELECT count(*) FROM c WHERE cut <= r.a) AS shard FROM r)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard, CAST(place - min(place) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM s
 """
 
 OP8_SQL = r"""
@@ -105,4 +127,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < head THEN 're
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op8_warc": OP8_SQL}
+    return {"op3_mixing": OP3_SQL, "op8_warc": OP8_SQL, "op10_sharding": OP10_SQL}
