@@ -17,10 +17,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
 from .textkernel import U, Words, mix
 
 EXACT, NEAR = 4, 512
@@ -81,15 +80,30 @@ def fingerprint_with_next(docs: DataFrame, partitions: int | None = None) -> Dat
 
     doc_ids are cut at quantiles into ranges; the first rows of each range are also sent to the range
     before it (the first of all to the last), so that each task meets each of its rows' successor and
-    the table moves once. Ties of doc_id go by text; null doc_ids come first; null texts are empty.
-    A table of one row follows itself; an empty table gives an empty result.
+    the table moves once. Ties of doc_id go by text, so of equal rows each follows the other; null
+    doc_ids come first, all in one range; null texts are empty; a very long text is in memory with the
+    next one. A table of one row follows itself; an empty table gives an empty result; other columns
+    don't pass through.
     """
     n = max(1, partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     marks = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10000)).first()[0] if n > 1 else None
     marks = sorted(set(marks or []))
-    bounds = F.array(*[F.lit(m) for m in marks]) if marks else F.array().cast("array<long>")
-    part = lambda c: F.when(c.isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b <= c))).cast("int")
+    # Bounds are searched in two levels, some 2 * sqrt(n) comparisons a row.
+    step = max(1, int(len(marks) ** 0.5))
+    fine = [marks[i:i + step] for i in range(0, len(marks), step)]
+
+    def below(bounds: list[int], c: Column) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(m) for m in bounds]), lambda b: b <= c))
+
+    def part(c: Column) -> Column:
+        if not marks:
+            return F.lit(0)
+        group = below([m[0] for m in fine], c)
+        own = F.element_at(F.array(*[F.array(*[F.lit(m) for m in g]) for g in fine]), group)
+        inside = (group - 1) * step + F.size(F.filter(own, lambda b: b <= c))
+        return F.when(c.isNull() | (c < F.lit(marks[0])), 0).otherwise(inside).cast("int")
+
     # Of each range that has rows: its first doc_id. At most n rows.
     heads = sorted((r["part"], r["first"]) for r in rows.groupBy(part(F.col("doc_id")).alias("part")).agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")).collect())
     schema = rows.withColumn("part", F.lit(0)).withColumn("guest", F.lit(False))
