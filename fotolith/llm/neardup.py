@@ -160,6 +160,37 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return own.union(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
+#: Postings of more rows are read and paired in blocks of about as many.
+LONG = 1024
+
+
+def beside(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """``rows`` with the ``stats`` of their shingle, among them ``holders``; rows of shingles that aren't there go.
+
+    Long postings are joined apart from the others: they are few, so Spark sends them to all tasks if
+    they are small, and a posting's rows needn't meet in one task.
+    """
+    stats = written(stats, "stats")
+    long = stats.where(F.col("holders") > LONG)
+    rest = rows.join(long.select("shingle"), "shingle", "left_anti").join(stats.where(F.col("holders") <= LONG), "shingle")
+    return rest.unionByName(rows.join(long, "shingle"))
+
+
+def posting_pairs(post: DataFrame, alike: Column) -> DataFrame:
+    """Pairs ``cid, cid_b`` of rows ``shingle, cid, n, comp, left, holders`` of one shingle and different
+    components that satisfy ``alike`` (the second row's columns end in ``_b``).
+
+    A posting is dealt to blocks of about :data:`LONG` rows by a hash of its members. Blocks i <= j
+    meet under a key of their own, so no task gets more than two blocks of a posting, however long it
+    is; a row is sent as often as the posting has blocks.
+    """
+    blocks = F.ceil(F.col("holders") / F.lit(LONG)).cast("int")
+    rows = post.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int"))
+    one = rows.select("shingle", "cid", "n", "comp", "left", F.col("_block").alias("i"), F.explode(F.sequence("_block", F.col("_blocks") - 1)).alias("j"))
+    two = rows.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "comp", "left")], F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("i"), F.col("_block").alias("j"))
+    return one.join(two, ["shingle", "i", "j"]).where("(i < j or cid < cid_b) and comp <> comp_b").where(alike).select("cid", "cid_b")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, slack: float = 0.12) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
@@ -171,13 +202,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, slack: f
     the least edited one. What is left is cut exactly: shingles are put in one order, rare before
     common, and two sets alike enough share one that has enough of both sets at or after it. Only
     members that hold the same such shingle meet, so a large group of heavily edited copies, each
-    mostly of its own rare shingles up to there, ends without its pairs. A pair that meets goes on if
+    mostly of its own rare shingles up to there, ends without its pairs; long postings meet in blocks
+    (:func:`posting_pairs`). A pair that meets goes on if
     its likely similarity is at least the threshold less ``slack`` (over 4 standard errors) and links
     if its full sets pass. Buckets within one component drop out; so every pair that shares a bucket
     is linked, refused or joined by others.
 
     Defined cases: texts without words link with nothing; null texts count as empty; null doc_ids
-    come out unlinked and not kept apart from their own row; equal rows share their component.
+    come out unlinked and not kept apart from their own row; equal rows share their component, and
+    both are kept if theirs is the smallest doc_id; a very long text is in memory whole, with its set;
+    an empty table gives an empty result; other columns don't pass through.
     """
     sk = written(sketches(docs, words), "sketches")
     classes = written(sk.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b")
@@ -200,16 +234,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, slack: f
         """Whether two sizes allow the similarity: exact, and before any text is read."""
         return F.least(mine, other) * 100 >= F.greatest(mine, other) * percent
 
+    # The texts of all that share a bucket, read from the table once; rows of one doc_id and text are one.
+    bucketed = buckets.select("cid").distinct().join(classes, "cid").select("cid", F.col("id").alias("doc_id"), "text_hash")
+    read = written(bucketed.join(texts, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash", "cid").agg(F.first("text").alias("text")).select("cid", "text"), "texts")
+
     def texts_of(cids: DataFrame) -> DataFrame:
-        own = cids.distinct().join(classes, "cid").select("cid", F.col("id").alias("doc_id"), "text_hash")
-        return own.join(texts, ["doc_id", "text_hash"]).groupBy("cid").agg(F.first("text").alias("text"))
+        return read.join(cids.distinct(), "cid", "left_semi")
 
     def link(pairs: DataFrame) -> DataFrame:
         p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         one, two = (light.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")) for x in "ab")
         likely = written(_estimated(p.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb"), percent / 100 - slack), "likely")
-        own = written(texts_of(likely.select(F.col("a").alias("cid")).union(likely.select(F.col("b").alias("cid")))), "texts")
-        one, two = (own.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+        one, two = (read.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
         return written(_verified(likely.join(one, "a").join(two, "b").select("a", "b", "ta", "tb"), percent, words), "links")
 
     def unresolved(rows: DataFrame) -> DataFrame:
@@ -234,7 +270,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, slack: f
         # Partners are among these rows: shingles that only one of them has can't be common to two.
         shingles = written(shingle_rows(texts_of(rest.select("cid")), words), "shingles")
         holders = shingles.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
-        shared = written(shingles.join(holders, "shingle"), "shared")
+        shared = written(beside(shingles, holders), "shared")
         of_text = shared.groupBy("cid").agg(F.count("*").alias("shared"), F.sum(F.log("holders")).alias("spread"))
         partner = F.greatest("smallest", F.ceil(F.col("n") * percent / 100))
         rest = unresolved(rest.join(of_text, "cid").where(enough("shared", "n", partner)).select("sig", "cid", "n", "comp", "spread"))
@@ -250,13 +286,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, slack: f
         order = Window.partitionBy("cid").orderBy(F.desc("holders"), F.desc("shingle"))
         left = shared.join(rest.select("cid", "n", "comp").distinct(), "cid").withColumn("left", F.row_number().over(order))
         post = written(left.where(enough("left", "n", F.ceil(F.col("n") * percent / 100))).select("shingle", "cid", "n", "comp", "left"), "postings")
-        smallest = post.groupBy("shingle").agg(F.min("n").alias("smallest"))
-        post = post.join(smallest, "shingle").where(enough("left", "n", partner)).drop("smallest")
-        mixed = post.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        post = written(post.join(mixed.select("shingle"), "shingle"), "postings")
-        other = post.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "comp", "left")])
-        alike = enough("left", "n", F.col("n_b")) & enough("left_b", "n", F.col("n_b"))
-        pairs = post.join(other, "shingle").where("cid < cid_b and comp <> comp_b").where(alike)
+        met_at = post.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("n").alias("smallest"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        pairs = posting_pairs(beside(post, met_at).where(enough("left", "n", partner)), enough("left", "n", F.col("n_b")) & enough("left_b", "n", F.col("n_b")))
         comp = joined(comp, link(pairs.select(F.col("cid").alias("a"), F.col("cid_b").alias("b"))))
     least = classes.select("cid", "id").join(comp.withColumnRenamed("node", "cid"), "cid").groupBy("comp").agg(F.min("id").alias("component_id"))
     ids = comp.join(least, "comp").select(F.col("node").alias("cid"), "component_id")
