@@ -25,14 +25,18 @@ def _byte_of() -> dict[str, int]:
 
 
 def _plain_bpe(spec: dict) -> bool:
-    """Whether a tokenizer file is a byte-level BPE of which ids alone say what merges first."""
+    """Whether a tokenizer file is a byte-level BPE of which ids alone say what merges first: ids rise with
+    the merges, and each longer token is what one merge gives, and one only."""
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
     if model["type"] != "BPE" or spec.get("normalizer") or spec.get("post_processor") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
         return False
     if any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")):
         return False
-    ids = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
-    return all(a < b for a, b in itertools.pairwise(ids))
+    made = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    added = {t["content"] for t in spec.get("added_tokens", [])}
+    if len(set(made)) < len(made) or {t for t in model["vocab"] if len(t) > 1 and t not in added} != set(made):
+        return False
+    return all(a < b for a, b in itertools.pairwise(model["vocab"][t] for t in made))
 
 
 class TextTokenizer:
@@ -148,7 +152,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, segments
     Each input partition packs its own rows, so nothing is shuffled and at most its last sequence
     has room; what a window leaves in its emptiest bin goes into the next one. A sequence's id has
     the partition in its upper bits. Over a table read from files a task that runs again gives the
-    same rows. Null and empty texts are ``end_id`` alone; a null doc_id stays null.
+    same rows.
+
+    Defined cases: null and empty texts are ``end_id`` alone; null and repeated doc_ids stay as they are,
+    and equal rows are packed each; a very long text fills sequences of its own, its ids in memory
+    whole; an empty table gives an empty result; other columns don't pass through.
     """
     limit = loss_limit or length
     if min(length, segments, limit, window) < 1:

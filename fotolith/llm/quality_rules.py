@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 from .textkernel import U, Words, chunks, mix
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_punct", "n_distinct", "n_lines", "n_ended", "n_bytes")
@@ -50,7 +50,10 @@ def count_statistics(blobs: list[bytes]) -> dict[str, np.ndarray]:
 
 def statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id`` and the counts of every whole text, and the columns ``carry`` as they are; null texts count
-    as empty."""
+    as empty. ``carry`` can't be one of the columns that are added."""
+    if {*COUNTS, *RATIOS, "doc_id", "anomaly", "base_failed", "kept"}.intersection(c.lower() for c in carry):
+        raise ValueError("carry has the name of a column that is added")
+    whole = fresh("text")[0]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -61,8 +64,8 @@ def statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                 s = count_statistics(blobs[lo:hi])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *[pa.array(s[c], pa.int64()) for c in COUNTS], *[batch.column(2 + i)[lo:hi] for i in range(len(carry))]], ["doc_id", *COUNTS, *carry])
 
-    types = [*[f"{c} long" for c in COUNTS], *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry]]
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *carry).mapInArrow(run, "doc_id long, " + ", ".join(types))
+    types = [*[f"{c} long" for c in COUNTS], *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]]
+    return docs.select("doc_id", F.col("text").cast("string").alias(whole), *carry).mapInArrow(run, "doc_id long, " + ", ".join(types))
 
 
 def with_ratios(stats: DataFrame) -> DataFrame:
@@ -149,7 +152,7 @@ def score_rows(ratios: DataFrame, forest: IsolationForest) -> DataFrame:
             x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in RATIOS], 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.score(x), pa.float64())], [*names, "anomaly"])
 
-    return ratios.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in ratios.dtypes) + ", anomaly double")
+    return ratios.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in ratios.dtypes) + ", anomaly double")
 
 
 def calibrate(scores: DataFrame, labels: DataFrame, loss: float = 0.002) -> float:
@@ -177,14 +180,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 50, max_r
 
     ``base_failed``: under ``min_words`` words, or over ``max_repeat`` % of them in 3-word windows that
     come again. Of the others the forest's score decides, by the cut that :func:`calibrate` finds in
-    the labelled rows that pass the base rules. One row comes out for each row that goes in; null
-    texts count as empty and fail the base rules; repeated doc_ids are judged by their own texts.
+    the labelled rows that pass the base rules.
+
+    Defined cases: one row comes out for each row that goes in; null texts count as empty and fail the
+    base rules; null and repeated doc_ids are judged by their own texts, and a repeated one's label
+    counts for each of its rows; equal texts get equal verdicts; a very long text is in memory whole;
+    an empty table gives an empty result; other columns don't pass through unless ``carry`` names them.
     """
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     ratios = written(with_ratios(statistics(docs, carry)).withColumn("base_failed", failed), "rule-statistics")
     passed = ratios.where(~F.col("base_failed"))
     good = passed.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
     forest = fit_forest(good, trees, rows)
-    scored = score_rows(ratios, forest if forest.trees else fit_forest(passed, trees, rows))
-    cut = calibrate(scored.where(~F.col("base_failed")), labels, loss)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= F.lit(cut)))
+    forest = forest if forest.trees else fit_forest(passed, trees, rows)
+    cut = calibrate(score_rows(passed.select("doc_id", *RATIOS), forest), labels, loss)
+    return score_rows(ratios, forest).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= F.lit(cut)))
