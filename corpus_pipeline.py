@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which :func:`run` writes as Parquet
 to the shared folder and reads again as the next stage's docs. All stages but the last return the
-columns of ``documents``. Verdicts go back to rows by a row key, since doc_ids may be null or repeat.
+columns of ``documents``. Stages of one pass carry the columns; where rows are grouped or ordered,
+verdicts go back to them by a row key, since doc_ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from fotolith.llm.common import table, written
 from fotolith.llm.queries import language_model, tokenizer_path, word_count
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: What passes through the operators that keep a row a row.
+CARRIED = COLUMNS[1:]
 ROW = "_row"
 
 
@@ -30,46 +33,60 @@ def keyed(docs: DataFrame) -> DataFrame:
     if at is None:
         return keyed(written(docs, "rows"))
     files = at.select("_file").distinct().select(F.col("_file").alias("_name"), F.row_number().over(Window.orderBy("_file")).cast("long").alias("_number"))
-    # One row for each file.
+    # One row for each file: less than the driver's own list of the table's files.
     return at.join(F.broadcast(written(files, "files")), F.col("_file") == F.col("_name")).select(*docs.columns, (F.shiftleft("_number", 40) + F.col("_at")).alias(ROW))
 
 
-def keep(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Those of the keyed ``rows`` that ``wanted`` holds."""
-    return rows.join(wanted.select(ROW), ROW, "left_semi").select(*COLUMNS)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the field tells, code-switched ones too; those that are ``und``, without a
-    letter, go. If the learning folds have no lang, no language can be told and all with a letter stay."""
-    rows = keyed(docs)
-    model = language_model(rows)
+    letter, go. If the learning folds have no lang, no language can be told and all with a letter stay.
+
+    One pass over the rows, which carries their columns. Null texts and texts without a letter go; a
+    row's verdict depends on its text alone, so null and repeated doc_ids and equal rows are each
+    judged by themselves; an empty table gives an empty one; other columns are left behind.
+    """
+    model = language_model(docs)
     if not model.labels:
-        return keep(rows, rows.where(F.col("text").rlike(r"\p{L}")))
-    told = langid.predict(rows.select(F.col(ROW).alias("doc_id"), "text"), model).withColumnRenamed("doc_id", ROW)
-    return keep(rows, told.where("lang_pred <> 'und'"))
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    return langid.predict(docs, model, CARRIED).where("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the forest."""
-    rows = keyed(docs)
-    return keep(rows, quality_rules.quality_rules(rows, table(spark, sf_dir, "labels"), carry=(ROW,)).where("kept"))
+    """Documents that pass the base rules and the forest.
+
+    The rows carry their columns through. Null texts fail; null doc_ids can't be labelled but are
+    judged; rows of one doc_id are each judged by their own text and equal rows alike; an empty table
+    gives an empty one; other columns are left behind.
+    """
+    return quality_rules.quality_rules(docs, table(spark, sf_dir, "labels"), carry=CARRIED).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of smallest doc_id (null last); of rows that tie the
-    first. Rows are compared by their own texts, also those without a doc_id."""
+    first.
+
+    Rows are compared by their own texts under a row key, also those without a doc_id and several of
+    one doc_id; of equal rows one stays. Null texts and texts without words are nobody's copy and
+    stay. An empty table gives an empty one; other columns are left behind.
+    """
     rows = keyed(docs)
     group = neardup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW))
-    return keep(rows, group.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first.alias("first")).select(f"first.{ROW}"))
+    kept = group.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first.alias("first")).select(f"first.{ROW}")
+    return rows.join(kept, ROW, "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in their sources' target shares: those the mix reads twice come twice, those it
     doesn't reach go, and where a target ends inside a document its text ends after that word. Each copy
     stands at the slot of the mix in which it begins: that is the order of the rows, and of the part
-    files by name when they are written."""
+    files by name when they are written.
+
+    Null texts have no words and go; a null source is a source of its own; rows of one doc_id, and
+    equal rows, are told apart by a row key, so no text comes more than twice for each of its rows; a
+    very long text stands where its first block does; an empty table gives an empty one; other
+    columns are left behind.
+    """
     keys = keyed(docs)
     taken = mixing.mix_documents(keys.select("doc_id", "source", word_count().alias("size"), ROW), "size", carry=(ROW,))
     reading = lambda e, name: F.struct(F.col(f"{name}_words").alias("words"), F.col(f"{name}_slot").alias("slot"), F.lit(e).alias("epoch"))
@@ -84,7 +101,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2,048 tokens."""
+    """Pieces of sequences of at most 2,048 tokens, one row each, with the piece's place in its document and
+    sequence. Null and empty texts are the end id alone; null and repeated doc_ids stay as they are; a
+    very long text fills sequences of its own; an empty table gives an empty result."""
     pieces = packing.pack_documents(docs, tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
