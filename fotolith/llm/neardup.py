@@ -164,16 +164,16 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 LONG = 1024
 
 
-def beside(rows: DataFrame, stats: DataFrame) -> DataFrame:
-    """``rows`` with the ``stats`` of their shingle, among them ``holders``; rows of shingles that aren't there go.
+def beside(rows: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the ``stats`` of their ``key``, among them ``holders``; rows of keys that aren't there go.
 
-    Long postings are joined apart from the others: they are few, so Spark sends them to all tasks if
-    they are small, and a posting's rows needn't meet in one task.
+    Rows of long groups are joined apart from the others: these groups are few, so Spark sends their
+    stats to all tasks if they are small, and a group's rows needn't meet in one task.
     """
     stats = written(stats, "stats")
     long = stats.where(F.col("holders") > LONG)
-    rest = rows.join(long.select("shingle"), "shingle", "left_anti").join(stats.where(F.col("holders") <= LONG), "shingle")
-    return rest.unionByName(rows.join(long, "shingle"))
+    rest = rows.join(long.select(key), key, "left_anti").join(stats.where(F.col("holders") <= LONG), key)
+    return rest.unionByName(rows.join(long, key))
 
 
 def posting_pairs(post: DataFrame, alike: Column) -> DataFrame:
@@ -221,8 +221,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, slack: f
     classes = classes.withColumn("cid", F.col("set_a"))
     band = lambda i: F.xxhash64(F.lit(i), F.substring("registers", i * ROWS + 1, ROWS))
     banded = classes.select("cid", "n", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("sig"))
-    counts = banded.groupBy("sig").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n")).alias("hub")).where("size > 1")
-    buckets = written(banded.join(counts, "sig").select("sig", "cid", "n", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
+    counts = banded.groupBy("sig").agg(F.count("*").alias("holders"), F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n")).alias("hub")).where("holders > 1")
+    buckets = written(beside(banded, counts, "sig").select("sig", "cid", "n", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
     light = classes.select("cid", "n", "registers")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
@@ -250,8 +250,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, slack: f
 
     def unresolved(rows: DataFrame) -> DataFrame:
         """Rows of buckets that still hold more than one component, with the bucket's smallest set."""
-        mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("smallest")).where("lo <> hi")
-        return written(rows.join(mixed.select("sig", "smallest"), "sig"), "rest")
+        mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("smallest"), F.count("*").alias("holders")).where("lo <> hi")
+        return written(beside(rows, mixed, "sig").drop("lo", "hi", "holders"), "rest")
 
     def named(rows: DataFrame, comp: DataFrame) -> DataFrame:
         return rows.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
@@ -270,13 +270,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, slack: f
         # Partners are among these rows: shingles that only one of them has can't be common to two.
         shingles = written(shingle_rows(texts_of(rest.select("cid")), words), "shingles")
         holders = shingles.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
-        shared = written(beside(shingles, holders), "shared")
+        shared = written(beside(shingles, holders, "shingle"), "shared")
         of_text = shared.groupBy("cid").agg(F.count("*").alias("shared"), F.sum(F.log("holders")).alias("spread"))
         partner = F.greatest("smallest", F.ceil(F.col("n") * percent / 100))
         rest = unresolved(rest.join(of_text, "cid").where(enough("shared", "n", partner)).select("sig", "cid", "n", "comp", "spread"))
 
         central = F.max(F.struct((F.col("spread") / F.col("n")).alias("spread"), "cid", "n", "comp")).alias("hub")
-        met = rest.join(rest.groupBy("sig").agg(central), "sig").where("cid <> hub.cid")
+        met = beside(rest, rest.groupBy("sig").agg(central, F.count("*").alias("holders")), "sig").where("cid <> hub.cid")
         met = met.select("sig", "cid", "n", "comp", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.comp").alias("hub_comp"))
         found = link(met.where("comp <> hub_comp").where(fits("n", "hub_n")).select(F.col("cid").alias("a"), F.col("hub").alias("b")))
         comp = joined(comp, found)
@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, slack: f
         left = shared.join(rest.select("cid", "n", "comp").distinct(), "cid").withColumn("left", F.row_number().over(order))
         post = written(left.where(enough("left", "n", F.ceil(F.col("n") * percent / 100))).select("shingle", "cid", "n", "comp", "left"), "postings")
         met_at = post.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("n").alias("smallest"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        pairs = posting_pairs(beside(post, met_at).where(enough("left", "n", partner)), enough("left", "n", F.col("n_b")) & enough("left_b", "n", F.col("n_b")))
+        pairs = posting_pairs(beside(post, met_at, "shingle").where(enough("left", "n", partner)), enough("left", "n", F.col("n_b")) & enough("left_b", "n", F.col("n_b")))
         comp = joined(comp, link(pairs.select(F.col("cid").alias("a"), F.col("cid_b").alias("b"))))
     least = classes.select("cid", "id").join(comp.withColumnRenamed("node", "cid"), "cid").groupBy("comp").agg(F.min("id").alias("component_id"))
     ids = comp.join(least, "comp").select(F.col("node").alias("cid"), "component_id")

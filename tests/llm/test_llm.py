@@ -372,7 +372,7 @@ def test_long_postings_meet_in_blocks(spark, monkeypatch):
     rows = [(int(s), c, 5, int(rng.integers(0, 4)), 5) for s, n in ((1, 50), (2, 9), (3, 8), (4, 1)) for c in rng.choice(10_000, n, replace=False).tolist()]
     post = spark.createDataFrame(rows, "shingle long, cid long, n long, comp long, left long")
     stats = post.groupBy("shingle").agg(F.count("*").alias("holders"))
-    got = neardup.posting_pairs(neardup.beside(post, stats), F.lit(True)).collect()
+    got = neardup.posting_pairs(neardup.beside(post, stats, "shingle"), F.lit(True)).collect()
     want = {(min(a[1], b[1]), max(a[1], b[1]), a[0]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and a[3] != b[3]}
     assert len(got) == len(want) and {(min(r), max(r)) for r in got} == {w[:2] for w in want}
 
