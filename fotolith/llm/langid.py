@@ -38,6 +38,7 @@ class Vocabulary:
         letters = (buf >= 0x80) | (((buf | 32) >= 97) & ((buf | 32) <= 122))
         self.lettered = np.add.reduceat(letters.astype(np.int64), start) > 0 if len(lens) else np.zeros(0, bool)
         rows, owners, scale = [(self.hashes >> U(48)).astype(np.int64)], [np.arange(len(lens))], [np.ones(len(lens))]
+        del edge
         byte = buf.astype(np.uint64) + U(1)
         gram = np.zeros(len(buf), np.uint64)
         for n in range(1, max(*ORDERS, *AFFIXES) + 2):
@@ -54,7 +55,7 @@ class Vocabulary:
                     rows.append(self._row(kind, n, gram[here]))
                     owners.append(owner[here])
                     scale.append(np.ones(len(here)))
-        self.rows, self.owner, self.scale = np.concatenate(rows), np.concatenate(owners), np.concatenate(scale)
+        self.rows, self.owner, self.scale = np.concatenate(rows, dtype=np.int32, casting="unsafe"), np.concatenate(owners, dtype=np.int32, casting="unsafe"), np.concatenate(scale, dtype=np.float32, casting="unsafe")
     @staticmethod
     def _row(kind: str, n: int, h: np.ndarray) -> np.ndarray:
         return (mix(h + U(n * 7919)) >> U(48)).astype(np.int64) + KINDS.index(kind) * TABLE
@@ -62,8 +63,7 @@ class Vocabulary:
     def emissions(self, weights: np.ndarray) -> np.ndarray:
         """(different words, labels): the sum of the features' weights, n-grams averaged over the word; 0 for
         words without letters."""
-        own = weights[self.rows] * self.scale[:, None]
-        out = np.stack([np.bincount(self.owner, weights=own[:, y], minlength=len(self.hashes)) for y in range(weights.shape[1])], 1)
+        out = np.stack([np.bincount(self.owner, weights=weights[self.rows, y] * self.scale, minlength=len(self.hashes)) for y in range(weights.shape[1])], 1)
         out[~self.lettered] = 0
         return out
 
@@ -73,8 +73,8 @@ class Vocabulary:
         return np.stack([np.bincount(self.rows, weights=g[:, y], minlength=size) for y in range(g.shape[1])], 1)
 
 
-def forward_backward(em: np.ndarray, trans: np.ndarray, counts: np.ndarray, block: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors of each word's label, and the expected number of each transition.
+def forward_backward(em: np.ndarray, trans: np.ndarray, counts: np.ndarray, block: int = 32, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Posteriors of each word's label, and the expected number of each transition (only if ``pairs``).
 
     ``em`` holds the words of all chains after each other, ``counts`` the words of each chain. Chains
     are cut into blocks that begin with the chain. The transfer matrix of each block is formed for all
@@ -117,7 +117,9 @@ def forward_backward(em: np.ndarray, trans: np.ndarray, counts: np.ndarray, bloc
         at = head[per > o + 1] + o
         v = sum(m[at + 1][:, :, j] * out[at + 1][:, j, None] for j in range(k))
         out[at] = v / total(v)
-    alpha, right = np.empty((nb, block, k)), np.empty((nb, block, k))
+    del m
+    alpha = np.empty((nb, block, k))
+    right = np.empty((nb, block, k)) if pairs else None
     f = into
     for t in range(block):
         step = moved(f)
@@ -126,14 +128,20 @@ def forward_backward(em: np.ndarray, trans: np.ndarray, counts: np.ndarray, bloc
         step = step * e[:, t]
         f = np.where(real[:, t, None], step / total(step), f)
         alpha[:, t] = f
-    post = np.empty((nb, block, k))
+    post = np.empty((nb, block, k)) if pairs else alpha  # in place where alpha isn't needed further
     for t in range(block - 1, -1, -1):
         p = alpha[:, t] * out
         post[:, t] = p / total(p)
-        right[:, t] = out * e[:, t]
-        step = back(right[:, t])
+        r = out * e[:, t]
+        if pairs:
+            right[:, t] = r
+        step = back(r)
         out = np.where(real[:, t, None], step / total(step), out)
-    post, alpha, right = (x.reshape(-1, k)[place] for x in (post, alpha, right))
+    del e
+    post = post.reshape(-1, k)[place]
+    if not pairs:
+        return post, None
+    alpha, right = (x.reshape(-1, k)[place] for x in (alpha, right))
     inner = np.ones(n, bool)
     inner[(np.cumsum(counts) - counts)[counts > 0]] = False
     x, y = alpha[:-1][inner[1:]], right[1:][inner[1:]]
@@ -156,7 +164,7 @@ class LanguageField:
         self.labels, self.weights, self.trans = labels, weights, trans
 
     def posteriors(self, words: Vocabulary) -> np.ndarray:
-        return forward_backward(words.emissions(self.weights)[words.word], self.trans, words.counts)[0]
+        return forward_backward(words.emissions(self.weights)[words.word], self.trans, words.counts, pairs=False)[0]
 
 
 def train(texts: list[str], langs: list[str], passes: int = 2, run: int = 24, chain: int = 256, batch: int = 16_000, seed: int = 5) -> LanguageField:
@@ -217,7 +225,7 @@ def train(texts: list[str], langs: list[str], passes: int = 2, run: int = 24, ch
                 b *= 0.99
                 b += 0.01 * d * d
                 p += rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)
-    return LanguageField(labels, weights, trans)
+    return LanguageField(labels, weights.astype(np.float32), trans)
 
 
 def fit(docs: DataFrame, rows: int = 2000) -> LanguageField:
@@ -246,25 +254,27 @@ def predict(docs: DataFrame, model: LanguageField, carry: tuple[str, ...] = ())
         import pyarrow as pa
 
         k = len(model.labels)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            blobs = [(t or "").lower().encode() for t in texts]
-            for lo, hi in chunks(blobs, 1 << 20):
-                v = Vocabulary(blobs[lo:hi])
-                has = v.lettered[v.word]
-                doc = v.doc[has]
-                n = np.bincount(doc, minlength=hi - lo)
-                if k > 1:
-                    post = model.posteriors(v)[has]
-                    mass = np.stack([np.bincount(doc, weights=post[:, y], minlength=hi - lo) for y in range(k)], 1)
-                else:
-                    mass = n[:, None].astype(float)
-                share = mass / np.maximum(n, 1)[:, None]
-                best = share.argmax(1)
-                know = [n[i] > 0 and k > 0 and any(c.isalpha() for c in texts[lo + i]) for i in range(hi - lo)]
-                told = [model.labels[best[i]] if know[i] else "und" for i in range(hi - lo)]
-                score = [float(min(1.0, share[i, best[i]])) if know[i] else 0.0 for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(j)[lo:hi] for j in range(1, batch.num_columns)], pa.array(told, pa.string()), pa.array(score, pa.float64())], names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):  # texts leave Arrow a few at a time
+                batch = whole.slice(at, 512)
+                texts = batch.column(0).to_pylist()
+                blobs = [(t or "").lower().encode() for t in texts]
+                for lo, hi in chunks(blobs, 1 << 19):
+                    v = Vocabulary(blobs[lo:hi])
+                    has = v.lettered[v.word]
+                    doc = v.doc[has]
+                    n = np.bincount(doc, minlength=hi - lo)
+                    if k > 1:
+                        post = model.posteriors(v)[has]
+                        mass = np.stack([np.bincount(doc, weights=post[:, y], minlength=hi - lo) for y in range(k)], 1)
+                    else:
+                        mass = n[:, None].astype(float)
+                    share = mass / np.maximum(n, 1)[:, None]
+                    best = share.argmax(1)
+                    know = [n[i] > 0 and k > 0 and any(c.isalpha() for c in texts[lo + i]) for i in range(hi - lo)]
+                    told = [model.labels[best[i]] if know[i] else "und" for i in range(hi - lo)]
+                    score = [float(min(1.0, share[i, best[i]])) if know[i] else 0.0 for i in range(hi - lo)]
+                    yield pa.RecordBatch.from_arrays([*[batch.column(j)[lo:hi] for j in range(1, batch.num_columns)], pa.array(told, pa.string()), pa.array(score, pa.float64())], names)
 
     kept = docs.select(F.col("text").cast("string").alias(fresh("text")[0]), *names[:-2])
     schema = [f"`{c}` {kept.schema[1 + i].dataType.simpleString()}" for i, c in enumerate(names[:-2])]
