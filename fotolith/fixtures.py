@@ -23,11 +23,11 @@ _DUCK = {
 }
 
 VIEWS = {
-    "v_photos": """SELECT e.event_id AS photo_id, CAST(e.ts AS DATE) AS session_id, e.user_id AS folder_id, CASE WHEN e.event_type = 'view' THEN 'detail' ELSE 'portrait' END AS scene_type,
+    "v_photos": """SELECT e.event_id AS photo_id, concat(CAST(CAST(floor(e.user_id / 100) AS BIGINT) AS STRING), '/', CAST(CAST(e.ts AS DATE) AS STRING)) AS session_id, e.user_id AS folder_id, CASE WHEN e.event_type = 'view' THEN 'detail' ELSE 'portrait' END AS scene_type,
   CASE WHEN e.event_type = 'signup' THEN CAST(floor(e.event_id / 7) AS BIGINT) END AS burst_id, CASE WHEN e.event_type = 'view' THEN 0 ELSE CAST(e.event_id % 4 AS INT) END AS face_count,
   e.value AS blur_score, CAST((e.event_id * 37) % 100 AS DOUBLE) / #100.0# AS aesthetic_score, CASE WHEN e.event_id % 3 = 0 THEN 4000 ELSE 6000 END AS width, CASE WHEN e.event_id % 3 = 0 THEN 6000 ELSE 4000 END AS height,
   e.event_type AS scene, CAST({json} AS INT) AS k, {t_us} AS t_us FROM events e""",
-    "v_hashed": """SELECT p.*, {phash} AS phash FROM v_photos p JOIN embeddings v ON v.vec_id = CAST(floor(p.photo_id / 3) AS BIGINT) % 500""",
+    "v_hashed": """SELECT p.*, {phash} AS phash FROM (SELECT p.*, CAST(floor(p.photo_id / 3) AS BIGINT) % (SELECT count(*) FROM embeddings) AS vec_id FROM v_photos p) p JOIN embeddings v ON v.vec_id = p.vec_id""",
     "v_faces": """SELECT p.photo_id, p.session_id, i.i AS face_index, CAST((p.photo_id * 13 + i.i * 29) % 100 AS DOUBLE) / #250.0# AS ear, CAST((p.photo_id * 7 + i.i * 31) % 100 AS DOUBLE) / #120.0# AS blink,
   CAST((p.photo_id * 11 + i.i * 17) % 100 AS DOUBLE) / #140.0# AS gaze_out, CAST((p.photo_id * 5 + i.i * 23) % 61 - 30 AS DOUBLE) AS yaw, CAST((p.photo_id * 3 + i.i * 41) % 100 AS DOUBLE) / #100.0# AS smile_score,
   CAST((p.photo_id * 19 + i.i * 7) % 500 AS DOUBLE) AS sharpness, 100 * i.i AS x, 80 * i.i AS y, CAST(40 + (p.photo_id + i.i * 13) % 200 AS INT) AS w, (p.photo_id + i.i) % 10 <> 0 AS valid,
@@ -48,6 +48,11 @@ VIEWS = {
   FROM (SELECT p.*, t_us - lag(t_us) OVER (PARTITION BY session_id ORDER BY t_us, photo_id) AS gap FROM v_photos p) g""",
     "v_scored": """SELECT b.photo_id, b.session_id, b.scene_type, b.face_count, CAST(b.burst AS BIGINT) AS burst, b.t_us, b.width, b.height, b.k, b.scene, b.blur_score, b.aesthetic_score,
   #0.6# * least(#1.0#, b.blur_score / #500.0#) + #0.4# * b.aesthetic_score AS score FROM v_bursts b""",
+    "v_gate_faces": """SELECT photo_id, session_id, face_index, ear, blink, gaze_out, yaw / #50.0# AS yaw, smile_score, sharpness, w, valid, identity_id FROM v_faces""",
+    "v_expressions": """SELECT photo_id, count(*) AS valid_faces, sum(CASE WHEN ear < #0.18# OR blink > #0.5# THEN 1 ELSE 0 END) AS closed, sum(CASE WHEN gaze_out > #0.35# OR abs(yaw) > 28 THEN 1 ELSE 0 END) AS away,
+  sum(CASE WHEN smile_score >= #0.5# THEN 1 ELSE 0 END) AS smiling, max(abs(yaw)) AS max_yaw, avg(greatest(#0.0#, #1.0# - abs(yaw) / #40.0#)) AS gaze, max(CASE WHEN identity_id IN (3, 5) THEN 1 ELSE 0 END) AS vip FROM v_faces WHERE valid GROUP BY photo_id""",
+    "v_judged": """SELECT s.*, #0.02# + CAST(s.k AS DOUBLE) / #120.0# AS lum, coalesce(e.valid_faces, 0) AS valid_faces, coalesce(e.closed, 0) AS closed, coalesce(e.away, 0) AS away, coalesce(e.smiling, 0) AS smiling, coalesce(e.max_yaw, #0.0#) AS max_yaw,
+  coalesce(e.gaze, #0.5#) AS gaze, coalesce(e.vip, 0) AS vip FROM v_scored s LEFT JOIN v_expressions e ON e.photo_id = s.photo_id""",
     "v_decisions": """SELECT photo_id, session_id, k, CASE WHEN k % 3 = 0 THEN 'selected' WHEN k % 5 = 0 THEN 'alternative' WHEN k % 7 = 0 THEN 'closed_eyes' ELSE 'duplicates' END AS label,
   CASE WHEN photo_id % 4 = 0 THEN 'selected' ELSE 'duplicates' END AS truth FROM v_photos""",
 }

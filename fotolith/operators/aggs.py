@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rules import half_even
+
 
 def counts_by(df: DataFrame, col: str) -> DataFrame:
     return df.where(F.col(col).isNotNull() & (F.col(col).cast("string") != "")).groupBy(col).agg(F.count("*").alias("n"))
@@ -19,12 +21,12 @@ def learn_recipes(history: DataFrame, fields: tuple[str, ...] = ("exposure", "co
     """Median of each develop field per scene, over positive rows without extreme settings; scenes and
     fields with under ``min_n`` values are left out."""
     long = history.where((F.col("label") == "positive") & ~F.col("extreme") & F.col("scene").isNotNull()).select("scene", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("r")).select("scene", "r.field", "r.value")
-    return long.where("value is not null").groupBy("scene", "field").agg(F.median("value").alias("m"), F.count("*").alias("n")).where(F.col("n") >= min_n).select("scene", "field", F.bround("m", 3).alias("median"), "n")
+    return long.where("value is not null").groupBy("scene", "field").agg(F.median("value").alias("m"), F.count("*").alias("n")).where(F.col("n") >= min_n).select("scene", "field", half_even(F.col("m"), 3).alias("median"), "n")
 
 
 def learn_crop_style(history: DataFrame, min_n: int = 15) -> DataFrame:
     real = history.where((F.col("label") == "positive") & F.col("real_crop"))
-    return real.groupBy("scene").agg(*[F.bround(F.median(c), 4).alias(f"m_{c}") for c in ("area", "dx", "dy", "angle")], F.count("*").alias("n")).where(F.col("n") >= min_n)
+    return real.groupBy("scene").agg(*[half_even(F.median(c), 4).alias(f"m_{c}") for c in ("area", "dx", "dy", "angle")], F.count("*").alias("n")).where(F.col("n") >= min_n)
 
 
 def project_dashboard(files: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def retention_estimate(sessions: DataFrame, theory: float = 0.35, last_n: int =
 
 def label_agreement(labels: DataFrame) -> DataFrame:
     known = labels.where("predicted is not null")
-    return known.groupBy("attribute").agg(F.count("*").alias("total"), F.count_if(F.col("value") == F.col("predicted")).alias("hits")).withColumn("precision", F.when(F.col("total") > 0, F.bround(F.col("hits") / F.col("total"), 3)))
+    return known.groupBy("attribute").agg(F.count("*").alias("total"), F.count_if(F.col("value") == F.col("predicted")).alias("hits")).withColumn("precision", F.when(F.col("total") > 0, half_even(F.col("hits") / F.col("total"), 3)))
 
 
 def rank_vip(identities: DataFrame, top_n: int = 3, key: str = "session_id") -> DataFrame:
@@ -124,7 +126,8 @@ def class_readiness(labels: DataFrame, min_n: int = 60, min_class: int = 15) ->
 
 def harmonise_cluster(df: DataFrame) -> DataFrame:
     """Every member of a burst of two or more takes the burst's median exposure and white balance."""
-    g = df.groupBy("session_id", "burst").agg(F.bround(F.median("exposure"), 2).alias("exposure"), F.bround(F.median("wb_temp"), 1).alias("temp"), F.count("*").alias("n")).where("n > 1").drop("n")
+    mid = lambda c, n: half_even(F.median(c), n)
+    g = df.groupBy("session_id", "burst").agg(mid("exposure", 2).alias("exposure"), mid("wb_temp", 1).alias("temp"), mid("wb_tint", 1).alias("tint"), F.count("*").alias("n")).where("n > 1").drop("n")
     return df.select("photo_id", "session_id", "burst").join(g, ["session_id", "burst"])
 
 
@@ -183,3 +186,18 @@ def analysis_audit(df: DataFrame) -> DataFrame:
 
 def learning_summary(history: DataFrame) -> DataFrame:
     return history.agg(F.count_if(F.col("label") == "positive").alias("positives"), F.count_if(F.col("label") == "negative").alias("negatives"), F.countDistinct("scene").alias("scenes"), F.round(F.avg(F.when(F.col("real_crop"), F.col("area") * 100)), 6).alias("mean_retained"))
+
+
+def vip_subjects(faces: DataFrame, names: DataFrame, top_n: int = 5) -> DataFrame:
+    """The people seen in most photos of each session, their first photo, and a saved or made-up name."""
+    top = rank_vip(faces, top_n=top_n).drop("rank")
+    name = F.coalesce("name", F.concat(F.lit("person "), F.col("identity_id").cast("string")))
+    return top.join(names, ["session_id", "identity_id"], "left").select("session_id", "identity_id", "photos", "first_photo", name.alias("name"))
+
+
+def verdict_report(verdicts: DataFrame, judged: DataFrame) -> DataFrame:
+    """Of pairs that weren't judged before: hits, misses, those without a verdict and the accuracy, by the
+    loser's label and over all."""
+    c = F.col
+    a = verdicts.join(judged, "photo_id", "left_anti").groupingSets([["label"], []], "label").agg(F.count("*").alias("pairs"), F.count_if(c("hit")).alias("hits"), F.count_if(~c("hit")).alias("misses"), F.count_if(c("hit").isNull()).alias("silent"))
+    return a.select(F.coalesce("label", F.lit("all")).alias("label"), "pairs", "hits", "misses", "silent", F.round(F.try_divide(c("hits"), c("hits") + c("misses")), 6).alias("accuracy"))

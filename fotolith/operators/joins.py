@@ -34,27 +34,42 @@ def burst_edges(photos: DataFrame, eps: float = 12.0, gap: float = 5.0, sure: fl
     return pair.where(edge).select(F.col("a_session_id").alias("session_id"), F.col("a_photo_id").alias("a"), F.col("b_photo_id").alias("b"), d.cast("long").alias("hamming"))
 
 
-def untimed_edges(photos: DataFrame, eps: float = 12.0) -> DataFrame:
-    """Photos without a time against all of their session and scene, by hash distance alone."""
-    p = photos.select("photo_id", "session_id", "scene_type", "t_us", "phash", "face_count")
-    a = p.where("t_us is null").select("session_id", "scene_type", "face_count", F.col("photo_id").alias("a"), F.col("phash").alias("ha"))
-    b = p.select("session_id", "scene_type", "face_count", F.col("photo_id").alias("b"), F.col("phash").alias("hb"), "t_us")
+def untimed_edges(photos: DataFrame, eps: int = 12) -> DataFrame:
+    """Photos without a time against those of their session, scene and face count, by hash distance alone.
+
+    Of eps + 1 bands of the hash one at least is equal in a pair, so pairs come from an equi-join.
+    """
+    keys = ["session_id", "scene_type", "face_count"]
+    ends = [64 * i // (eps + 1) for i in range(eps + 2)]
+    band = lambda i: F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("phash", ends[i]).bitwiseAND(F.lit((1 << (ends[i + 1] - ends[i])) - 1)).alias("v"))
+    p = photos.select("photo_id", *keys, "t_us", "phash", F.explode(F.array(*[band(i) for i in range(eps + 1)])).alias("band"))
+    a = p.where("t_us is null").select(*keys, "band", F.col("photo_id").alias("a"), F.col("phash").alias("ha"))
+    b = p.select(*keys, "band", F.col("photo_id").alias("b"), F.col("phash").alias("hb"), "t_us")
     near = hamming(F.col("ha"), F.col("hb")) <= eps
     once = F.col("t_us").isNotNull() | (F.col("a") < F.col("b"))
-    return a.join(b, ["session_id", "scene_type", "face_count"]).where(near & once & (F.col("a") != F.col("b"))).select("session_id", "a", "b")
+    return a.join(b, [*keys, "band"]).where(near & once & (F.col("a") != F.col("b"))).select("session_id", "a", "b").distinct()
 
 
 def exact_duplicate_pairs(photos: DataFrame, max_hamming: int = 2, gap: float = 3.0) -> DataFrame:
     """Pairs within ``max_hamming`` bits: of max_hamming + 1 bands of the hash one at least is equal, so
-    pairs come from an equi-join on bands; the time gap counts only where both are timed."""
+    pairs come from an equi-join on bands and time; the time gap counts only where both are timed."""
     n = max_hamming + 1
     width = -(-64 // n)
     band = lambda i: F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("phash", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v"))
     p = photos.select("photo_id", "session_id", "t_us", "phash", F.explode(F.array(*[band(i) for i in range(n)])).alias("band"))
-    a, b = (p.select("session_id", "band", *[F.col(c).alias(f"{x}_{c}") for c in ("photo_id", "t_us", "phash")]) for x in "ab")
-    timed = F.coalesce(F.abs(F.col("a_t_us") - F.col("b_t_us")) <= int(gap * 1e6), F.lit(True))
-    return (a.join(b, ["session_id", "band"]).where((F.col("a_photo_id") < F.col("b_photo_id")) & timed & (hamming(F.col("a_phash"), F.col("b_phash")) <= max_hamming))
-            .select("session_id", F.col("a_photo_id").alias("a"), F.col("b_photo_id").alias("b")).distinct())
+    reach = int(gap * 1e6)
+    cols = ("photo_id", "t_us", "phash")
+    side = lambda d, x, *more: d.select("session_id", "band", *[F.col(c).alias(f"{x}_{c}") for c in cols], *more)
+    near = hamming(F.col("a_phash"), F.col("b_phash")) <= max_hamming
+    # Timed photos meet those of their own and the next interval of ``gap`` only, so a long run of like shots isn't paired up.
+    timed, bucket = p.where("t_us is not null"), F.floor(F.col("t_us") / reach)
+    soon = side(timed, "a", F.explode(F.array(bucket, bucket + 1)).alias("bucket")).join(side(timed, "b", bucket.alias("bucket")), ["session_id", "band", "bucket"])
+    dt = F.col("b_t_us") - F.col("a_t_us")
+    soon = soon.where(((dt > 0) | (dt == 0) & (F.col("a_photo_id") < F.col("b_photo_id"))) & (dt <= reach))
+    # Untimed photos are few; they meet all of their band.
+    free = side(p.where("t_us is null"), "a").join(side(p, "b"), ["session_id", "band"]).where("a_photo_id <> b_photo_id")
+    pairs = soon.select("session_id", *[f"{x}_{c}" for x in "ab" for c in cols]).unionByName(free.select("session_id", *[f"{x}_{c}" for x in "ab" for c in cols])).where(near)
+    return pairs.select("session_id", F.least("a_photo_id", "b_photo_id").alias("a"), F.greatest("a_photo_id", "b_photo_id").alias("b")).distinct()
 
 
 def burst_pairs(bursts: DataFrame, max_losers: int = 3) -> DataFrame:
@@ -97,16 +112,39 @@ def nearest_city(photos: DataFrame, cities: DataFrame, max_km: float = 35.0) ->
     return photos.join(F.broadcast(row)).withColumn("best", best).where(F.col("best.km") <= max_km).select("photo_id", F.col("best.city").alias("city"), F.col("best.km").alias("km"))
 
 
-def knn(queries: DataFrame, vecs: DataFrame, k: int = 50) -> DataFrame:
-    """Exact top-k by inner product of a stated query set against all vectors, in blocks of about 256
-    queries, each one array row; a query's best are found in 16 parts first, then of those."""
-    blocks = max(1, -(-queries.count() // 256))
-    few = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))).alias("qs"))
-    scored = vecs.join(few).select("vec_id", F.explode(F.transform("qs", lambda s: F.struct(s["query"].alias("query"), dot(s["q"], F.col("embedding")).alias("score")))).alias("r")).select("vec_id", "r.query", "r.score")
-    part = scored.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
-    some = Window.partitionBy("query", "salt").orderBy(F.col("score").desc(), "vec_id")
-    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
-    return part.withColumn("r", F.row_number().over(some)).where(F.col("r") <= k).withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query", "vec_id", "rank", "score")
+def knn(queries: DataFrame, vecs: DataFrame, k: int = 50, block: int = 2048, parts: int | None = None) -> DataFrame:
+    """Exact top-k by inner product of a stated query set against all vectors.
+
+    Queries are cut into blocks of about ``block`` and vectors into ``parts`` (the session's shuffle
+    partitions) by hash; each pair of a block and a part is one group, whose scores are one matrix
+    product and of which only k rows for each query come out. So what is shuffled is each vector once
+    a block, and queries x parts x k candidates.
+    """
+    n = parts or int(vecs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-queries.count() // block))
+    q = queries.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"))
+    v = vecs.select(F.col("vec_id").alias("of"), F.col("embedding").alias("vec"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("part"))
+    q, v = (d.withColumn("block", F.col("block").cast("int")) for d in (q, v))
+
+    def best(left, right):
+        import numpy as np
+        import pandas as pd
+
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query": [], "vec_id": [], "score": []}).astype({"query": "int64", "vec_id": "int64", "score": "float64"})
+        right = right.sort_values("of")
+        ids, rows, one = right["of"].to_numpy(), right["vec"].to_numpy(), np.stack(left["embedding"]).astype(float)
+        top, who = np.full((len(one), 0), -np.inf), np.zeros((len(one), 0), np.int64)
+        for lo in range(0, len(ids), 4096):  # a bounded stretch of scores at a time
+            scores = np.concatenate([top, one @ np.stack(rows[lo:lo + 4096]).astype(float).T], 1)
+            names = np.concatenate([who, np.broadcast_to(ids[lo:lo + 4096], (len(one), len(ids[lo:lo + 4096])))], 1)
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            top, who = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
+        return pd.DataFrame({"query": np.repeat(left["vec_id"].to_numpy(), top.shape[1]), "vec_id": who.ravel(), "score": top.ravel()})
+
+    some = q.groupBy("block", "part").cogroup(v.groupBy("block", "part")).applyInPandas(best, "query long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "vec_id")).cast("long")
+    return some.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "vec_id", "rank", "score")
 
 
 def nearest_scene(vecs: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -117,15 +155,15 @@ def nearest_scene(vecs: DataFrame, centroids: DataFrame) -> DataFrame:
     return vecs.join(F.broadcast(few)).select("vec_id", best["scene"].alias("scene"))
 
 
-def apply_overrides(members: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Move photos to chapters that exist; other overrides are ignored."""
-    known = members.select(F.col("chapter").alias("target")).distinct()
-    moves = overrides.join(known, "target", "left_semi")
-    return members.join(moves, "photo_id", "left").withColumn("chapter", F.coalesce("target", "chapter")).drop("target")
+def unfed_labeled(history: DataFrame, fed: DataFrame, limit: int | None = None) -> DataFrame:
+    """Labelled history that no model has seen yet, the first ``limit`` by photo_id if one is given."""
+    rest = history.where(F.col("label").isin("positive", "negative")).join(fed.select("photo_id"), "photo_id", "left_anti")
+    return rest.orderBy("photo_id").limit(limit) if limit else rest
 
 
-def unfed_labeled(history: DataFrame, fed: DataFrame) -> DataFrame:
-    return history.where(F.col("label").isin("positive", "negative")).join(fed.select("photo_id"), "photo_id", "left_anti")
+def mark_fed(fed: DataFrame, used: DataFrame) -> DataFrame:
+    """What a model has seen after it took ``used``, each photo once."""
+    return fed.select("photo_id").union(used.select("photo_id")).distinct()
 
 
 def compare_selections(df: DataFrame, old: str, new: str) -> DataFrame:
@@ -150,11 +188,15 @@ def merge_labels(snapshot: DataFrame, new: DataFrame) -> DataFrame:
     return snapshot.join(new.select("photo_id", F.col("label").alias("new_label")), "photo_id", "full").withColumn("label", F.coalesce("new_label", "label")).drop("new_label")
 
 
-def duel_rewrite(duels: DataFrame, files: DataFrame) -> DataFrame:
-    """Winner and loser of each duel with their RAW and JPEG siblings, labelled selected and duplicates."""
-    both = duels.select(F.col("winner").alias("photo_id"), F.lit("selected").alias("label")).union(duels.select(F.col("loser").alias("photo_id"), F.lit("duplicates").alias("label")))
-    stems = both.join(files.select("photo_id", "stem_path"), "photo_id").select("stem_path", "label")
-    return stems.join(files.select("photo_id", "stem_path"), "stem_path").select("photo_id", "label").distinct()
+def duel_rewrite(duels: DataFrame, files: DataFrame, develops: DataFrame) -> DataFrame:
+    """Winner and loser of each duel with their RAW and JPEG siblings, labelled selected and duplicates. The
+    winner without a develop of its own takes the loser's."""
+    own = develops.select("photo_id", "develop")
+    d = duels.join(own.select(F.col("photo_id").alias("winner"), F.col("develop").alias("won")), "winner", "left").join(own.select(F.col("photo_id").alias("loser"), F.col("develop").alias("lost")), "loser", "left")
+    sides = F.array(F.struct(F.col("winner").alias("photo_id"), F.lit("selected").alias("label"), F.coalesce("won", "lost").alias("develop")), F.struct(F.col("loser").alias("photo_id"), F.lit("duplicates").alias("label"), F.col("lost").alias("develop")))
+    both = d.select(F.explode(sides).alias("s")).select("s.*")
+    stems = both.join(files.select("photo_id", "stem_path"), "photo_id").select("stem_path", "label", "develop")
+    return stems.join(files.select("photo_id", "stem_path"), "stem_path").select("photo_id", "label", "develop").distinct()
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:

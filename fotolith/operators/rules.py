@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def half_even(c: Column, n: int = 0) -> Column:
+    """``c`` rounded to ``n`` places as ``round`` does it to doubles: halves of the scaled value go to even, and
+    0.575, which lies just under the half, gives 0.57. (``bround`` takes the shortest decimal's digits.)"""
+    scale = F.lit(float(10**n))
+    return F.bround(c * scale) / scale
+
+
 def parse_capture_time(c: Column) -> Column:
     """The colon form of EXIF dates, then the dashed form; anything else is missing."""
     return F.coalesce(F.try_to_timestamp(c, F.lit("yyyy:MM:dd HH:mm:ss")), F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss")))
@@ -45,7 +52,7 @@ def tonal_rescue(hi: Column, sh: Column, t_hi: float = 0.05, t_sh: float = 0.10)
 def crop_descriptors(df: DataFrame) -> DataFrame:
     """Area, offsets of the centre and angle of a crop, to 4 places."""
     w, h = F.col("crop_right") - F.col("crop_left"), F.col("crop_bottom") - F.col("crop_top")
-    four = lambda c: F.bround(c, 4)
+    four = lambda c: half_even(c, 4)
     return df.withColumns({"area": four(w * h), "dx": four((F.col("crop_left") + F.col("crop_right")) / 2 - F.lit(0.5)), "dy": four((F.col("crop_top") + F.col("crop_bottom")) / 2 - F.lit(0.5)), "angle": four(F.col("crop_angle"))})
 
 
@@ -65,7 +72,7 @@ def trash_flag(blur_flag: Column, blur: Column, sharp_anywhere: Column, lum: Col
 
 def derive_exposure(lum: Column, limit: float = 1.2) -> Column:
     """Stops that bring a luminance to mid-grey, for photos without a stored develop."""
-    return F.greatest(F.lit(-limit), F.least(F.lit(limit), F.bround(F.log2(F.lit(0.18) / lum), 2)))
+    return F.greatest(F.lit(-limit), F.least(F.lit(limit), half_even(F.log2(F.lit(0.18) / lum), 2)))
 
 
 def exposure_caption(aperture: Column, shutter: Column, focal: Column) -> Column:
@@ -88,7 +95,7 @@ def vip_weights(faces: DataFrame, vip_ids: list[int] | None = None, floor: float
         return faces.withColumn("weight", F.when(F.col("identity_id").isin(vip_ids), F.lit(4.0)).otherwise(F.lit(0.5)))
     area = (F.col("w") * F.col("w")).cast("double")
     share = area / F.max(area).over(Window.partitionBy("photo_id"))
-    return faces.withColumn("weight", F.when(share >= floor, F.lit(1.0)).otherwise(F.greatest(F.lit(0.1), F.bround(share, 3))))
+    return faces.withColumn("weight", F.when(share >= floor, F.lit(1.0)).otherwise(F.greatest(F.lit(0.1), half_even(share, 3))))
 
 
 def region_normalise(faces: DataFrame) -> DataFrame:
@@ -124,7 +131,21 @@ def blur_diagnosis(face: Column, background: Column, coherence: Column, thr: flo
 
 
 def grid_facets(df: DataFrame) -> DataFrame:
-    """One pass over decisions with their margins: how many photos each facet of the grid shows."""
+    """One pass over decisions with their margins: how many photos each of the grid's seven facets shows."""
     c = F.col
-    return df.agg(F.count("*").alias("all_photos"), F.count_if(c("label") == "selected").alias("recommended"), F.count_if(c("label") == "duplicates").alias("repeated"),
-                  F.count_if(c("label").isin("closed_eyes", "blurry")).alias("discards"), F.count_if(c("margin") < 0.05).alias("doubtful"))
+    return df.agg(F.count("*").alias("all_photos"), F.count_if(c("label").isin("selected", "highlighted")).alias("recommended"), F.count_if(c("label") == "duplicates").alias("repeated"),
+                  F.count_if(c("label").isin("closed_eyes", "blurry")).alias("discards"), F.count_if(c("margin") < 0.05).alias("doubtful"), F.count_if("black_white").alias("black_white"),
+                  F.count_if(c("label") == "alternative").alias("alternatives"))
+
+
+def hero_bonus(score: Column, vip: Column, mates: Column, faces: Column, max_yaw: Column, gaze: Column, closed: Column, away: Column, smiling: Column) -> Column:
+    """Score with its bonuses, each step capped at 1: people of the event's centre, then in bursts of two or
+    more with faces eye contact, and for these people eye contact and a smile."""
+    one = F.lit(1.0)
+    plus = lambda c, when, x: F.when(when, F.least(one, c + F.lit(x))).otherwise(c)
+    s = F.when(vip, F.least(one, score * F.lit(1.2))).otherwise(score)
+    shot = (mates >= 2) & (faces > 0)
+    open_ = (closed == 0) & (away == 0)
+    s = plus(s, shot & ((max_yaw < 15.0) | (gaze >= 0.75)) & open_, 0.35)
+    s = plus(s, shot & vip & open_, 0.15)
+    return plus(s, shot & vip & open_ & (smiling > 0), 0.15)

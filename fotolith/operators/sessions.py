@@ -1,13 +1,20 @@
 """Order-dependent operators: folds over one session's rows, each session in its own group.
 
-A session is one shoot (thousands of photos), so a group stays small whatever the archive's size.
+A session is one folder's shoot of a day, so a group stays small whatever the archive's size.
 """
 
 from __future__ import annotations
 
+from bisect import insort
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def kind_of(df: DataFrame) -> str:
+    return df.schema["session_id"].dataType.simpleString()
 
 
 def assign_identities(faces: DataFrame, threshold: float = 0.38) -> DataFrame:
@@ -23,7 +30,7 @@ def assign_identities(faces: DataFrame, threshold: float = 0.38) -> DataFrame:
                 out.append(-1)
                 continue
             x = np.asarray(v, float)
-            x /= np.linalg.norm(x) or 1.0
+            x = x / (np.linalg.norm(x) or 1.0)
             d = 1 - centres @ x if len(centres) else np.zeros(0)
             if len(d) and d.min() < threshold:
                 out.append(int(d.argmin()))
@@ -32,28 +39,34 @@ def assign_identities(faces: DataFrame, threshold: float = 0.38) -> DataFrame:
                 out.append(len(centres) - 1)
         return pdf.assign(identity_id=np.array(out, np.int64))[["session_id", "photo_id", "face_index", "identity_id"]]
 
-    return faces.select("session_id", "photo_id", "face_index", "vec").groupBy("session_id").applyInPandas(fold, "session_id date, photo_id long, face_index int, identity_id long")
+    return faces.select("session_id", "photo_id", "face_index", "vec").groupBy("session_id").applyInPandas(fold, f"session_id {kind_of(faces)}, photo_id long, face_index int, identity_id long")
 
 
 def light_sessions(photos: DataFrame, run: int = 4, dwb: float = 12.0, dev: float = 1.0) -> DataFrame:
     """Light changes with hysteresis: ``run`` photos in a row that stray from the open session's upper
     medians open a new one; fewer are absorbed."""
 
-    def upper(values: list[float]) -> float | None:
-        return sorted(values)[len(values) // 2] if values else None
-
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t_us", "photo_id"], kind="stable")
         rows = pdf[["global_lum", "wb_temp", "wb_tint"]].to_numpy(float)
         out = np.zeros(len(rows), np.int64)
-        session, members, stray = 0, [], []
+        session, stray = 0, []
+        members: list[list[float]] = [[], [], []]  # sorted, so that a median costs no sort
+
+        def join(own: tuple) -> None:
+            for j in range(3):
+                if not np.isnan(own[j]):
+                    insort(members[j], own[j])
+
         for i, r in enumerate(rows):
             ev = np.log2(max(r[0], 1e-4) / 0.18)
-            mid = [upper([x[j] for x in members if not np.isnan(x[j])]) for j in range(3)]
-            far = bool(members) and (abs(ev - mid[0]) > dev or any(not np.isnan(r[j]) and mid[j] is not None and abs(r[j] - mid[j]) > dwb for j in (1, 2)))
+            mid = [x[len(x) // 2] if x else None for x in members]
+            far = bool(members[0]) and (abs(ev - mid[0]) > dev or any(not np.isnan(r[j]) and mid[j] is not None and abs(r[j] - mid[j]) > dwb for j in (1, 2)))
             own = (ev, r[1], r[2])
             if not far:
-                members += [s for _, s in stray] + [own]
+                for _, s in stray:
+                    join(s)
+                join(own)
                 stray = []
             else:
                 stray.append((i, own))
@@ -61,27 +74,39 @@ def light_sessions(photos: DataFrame, run: int = 4, dwb: float = 12.0, dev: floa
                     session += 1
                     for j, _ in stray:
                         out[j] = session
-                    members, stray = [s for _, s in stray], []
+                    members, own_run, stray = [[], [], []], stray, []
+                    for _, s in own_run:
+                        join(s)
                     continue
             out[i] = session
         return pdf.assign(light_session=out)[["session_id", "photo_id", "light_session"]]
 
-    return photos.select("session_id", "photo_id", "t_us", "global_lum", "wb_temp", "wb_tint").groupBy("session_id").applyInPandas(fold, "session_id date, photo_id long, light_session long")
+    return photos.select("session_id", "photo_id", "t_us", "global_lum", "wb_temp", "wb_tint").groupBy("session_id").applyInPandas(fold, f"session_id {kind_of(photos)}, photo_id long, light_session long")
 
 
-def resolve_duplicates(photos: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Greedy masters over duplicate pairs in time order: a photo already marked can't be a master."""
-    p = pairs.join(photos.select("photo_id", "t_us"), pairs["a"] == photos["photo_id"]).select("session_id", "a", "b", "t_us")
+def resolve_duplicates(photos: DataFrame, pairs: DataFrame, gap: float = 3.0) -> DataFrame:
+    """Greedy masters over duplicate pairs in time order (untimed last): a photo already marked can't be a
+    master, and a timed one takes none behind the first photo that is over ``gap`` seconds later, so no
+    untimed ones either where there is such a photo."""
+    order = Window.partitionBy("session_id").orderBy(F.col("t_us").asc_nulls_last(), "photo_id")
+    placed = photos.select("photo_id", "t_us", F.row_number().over(order).alias("place"), F.max("t_us").over(Window.partitionBy("session_id")).alias("last"))
+    one, two = (placed.select(*[F.col(c).alias(f"{x}_{c}") for c in placed.columns]) for x in "ab")
+    both = pairs.join(one, pairs["a"] == one["a_photo_id"]).join(two, pairs["b"] == two["b_photo_id"])
+    swap = F.col("a_place") > F.col("b_place")
+    pick = lambda c: F.when(swap, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}"))
+    cut = F.col("t_us").isNotNull() & F.when(swap, F.col("a_t_us")).otherwise(F.col("b_t_us")).isNull() & (pick("last") - F.col("t_us") > int(gap * 1e6))
+    both = both.withColumns({"t_us": pick("t_us"), "first": pick("photo_id"), "place": pick("place"), "second": F.when(swap, F.col("a_photo_id")).otherwise(F.col("b_photo_id")), "to": F.greatest("a_place", "b_place")})
+    p = both.where(~F.coalesce(cut, F.lit(False))).select("session_id", F.col("first").alias("a"), F.col("second").alias("b"), "place", "to")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         of: dict[int, int] = {}
-        for a, b in pdf.sort_values(["t_us", "a", "b"], na_position="last")[["a", "b"]].to_numpy():
+        for a, b in pdf.sort_values(["place", "to"])[["a", "b"]].to_numpy():
             if a not in of and b not in of:
                 of[int(b)] = int(a)
         out = pd.DataFrame({"session_id": [pdf["session_id"].iloc[0]] * len(of), "photo_id": np.array(list(of), np.int64), "master": np.array(list(of.values()), np.int64)})
         return out.astype({"session_id": object})
 
-    return p.groupBy("session_id").applyInPandas(fold, "session_id date, photo_id long, master long")
+    return p.groupBy("session_id").applyInPandas(fold, f"session_id {kind_of(p)}, photo_id long, master long")
 
 
 def leader_clusters(photos: DataFrame, threshold: int = 10, key: str = "session_id") -> DataFrame:
@@ -98,7 +123,7 @@ def leader_clusters(photos: DataFrame, threshold: int = 10, key: str = "session_
                 n += 1
         return pdf.assign(cluster=out)[["session_id", "photo_id", "cluster"]]
 
-    return photos.select("session_id", "photo_id", "t_us", "phash").groupBy(key).applyInPandas(fold, "session_id date, photo_id long, cluster long")
+    return photos.select("session_id", "photo_id", "t_us", "phash").groupBy(key).applyInPandas(fold, f"session_id {kind_of(photos)}, photo_id long, cluster long")
 
 
 def coverage_promote(identities: DataFrame, selected: DataFrame, scores: DataFrame, min_seen: int = 3) -> DataFrame:
@@ -108,7 +133,7 @@ def coverage_promote(identities: DataFrame, selected: DataFrame, scores: DataFra
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         seen = pdf.groupby("identity_id")["photo_id"].agg(["count", "min"])
-        covered = set(pdf.loc[pdf["chosen"].fillna(False).astype(bool), "identity_id"])
+        covered = set(pdf.loc[pdf["chosen"].notna(), "identity_id"])
         out = []
         for who in seen[seen["count"] >= min_seen].sort_values(["min"], kind="stable").index:
             if who not in covered:
@@ -117,4 +142,4 @@ def coverage_promote(identities: DataFrame, selected: DataFrame, scores: DataFra
                 covered |= set(pdf.loc[pdf["photo_id"] == out[-1], "identity_id"])
         return pd.DataFrame({"session_id": [pdf["session_id"].iloc[0]] * len(out), "photo_id": np.array(out, np.int64)}).astype({"session_id": object})
 
-    return d.groupBy("session_id").applyInPandas(fold, "session_id date, photo_id long")
+    return d.groupBy("session_id").applyInPandas(fold, f"session_id {kind_of(d)}, photo_id long")

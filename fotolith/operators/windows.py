@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rules import half_even, vip_weights
+
 ORDER = ("t_us", "photo_id")
 
 
@@ -18,11 +20,49 @@ def adaptive_gap(photos: DataFrame, gap: float = 5.0, eps: float = 12.0) -> Data
     return s.select("session_id", F.when(dense, F.least(g, F.lit(2.0))).when(sparse, F.greatest(g, F.lit(6.0))).otherwise(g).alias("gap"), F.when(dense, F.least(e, F.lit(10.0))).when(sparse, F.greatest(e, F.lit(14.0))).otherwise(e).alias("eps"))
 
 
-def gap_bursts(photos: DataFrame, gap: float = 2.0) -> DataFrame:
-    """A new burst where the time since the photo before exceeds ``gap`` seconds."""
+def gap_bursts(photos: DataFrame, gap: float = 2.0, sim: float | None = None) -> DataFrame:
+    """A new burst where the time since the photo before exceeds ``gap`` seconds, or, with ``sim``, where the
+    cosine of ``vec`` to that photo's is below it and both have one."""
     w = Window.partitionBy("session_id").orderBy(*ORDER)
-    cut = F.coalesce(((F.col("t_us") - F.lag("t_us").over(w)) > int(gap * 1e6)).cast("int"), F.lit(1))
-    return photos.withColumn("_cut", cut).withColumn("burst", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+    cut = F.coalesce((F.col("t_us") - F.lag("t_us").over(w)) > int(gap * 1e6), F.lit(True))
+    if sim is not None:
+        cut = cut | F.coalesce(cosine(F.col("vec"), F.lag("vec").over(w)) < F.lit(sim), F.lit(False))
+    return photos.withColumn("_cut", cut.cast("int")).withColumn("burst", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+
+
+def cosine(a: Column, b: Column) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda t, v: t + v)
+    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def history_bursts(photos: DataFrame, gap: float = 30.0, sim: float = 0.90) -> DataFrame:
+    """Bursts of a folder's past photos, those without a vector left out: the same one as the photo before
+    (untimed last) if at most ``gap`` seconds lie between, where both are timed, and their vectors'
+    product is at least ``sim``."""
+    w = Window.partitionBy("folder_id").orderBy(F.col("t_us").asc_nulls_last(), "photo_id")
+    dot = F.aggregate(F.zip_with("vec", F.lag("vec").over(w), lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda t, v: t + v)
+    apart = F.coalesce(F.abs(F.col("t_us") - F.lag("t_us").over(w)) > int(gap * 1e6), F.lit(False))
+    cut = F.lag("photo_id").over(w).isNull() | apart | (dot < F.lit(sim))
+    d = photos.where("vec is not null").withColumn("_cut", cut.cast("int"))
+    return d.withColumn("burst", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+
+
+def scope_union(history: DataFrame, gap: float = 30.0) -> DataFrame:
+    """Photos of reviewed bursts, those that hold a positive, by label: positives, negatives and unreviewed.
+    Bursts are a folder's photos at most ``gap`` seconds apart; an untimed photo is one of its own."""
+    w = Window.partitionBy("folder_id").orderBy(F.col("t_us").asc_nulls_last(), "photo_id")
+    cut = (~F.coalesce(F.col("t_us") - F.lag("t_us").over(w) <= int(gap * 1e6), F.lit(False))).cast("int")
+    d = history.withColumn("_cut", cut).withColumn("_burst", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("_kept", F.max((F.col("label") == "positive").cast("int")).over(Window.partitionBy("folder_id", "_burst")))
+    return d.where((F.col("_kept") == 1) & F.col("label").isin("positive", "negative", "unreviewed")).drop("_cut", "_burst", "_kept")
+
+
+def chronological(photos: DataFrame) -> DataFrame:
+    """Each photo's place in its session by capture time, those without one first, and in the order of
+    development, in which they come last."""
+    s = Window.partitionBy("session_id")
+    place = lambda t: F.row_number().over(s.orderBy(t, "photo_id")).cast("long")
+    return photos.withColumns({"place": place(F.col("t_us").asc_nulls_first()), "develop_place": place(F.col("t_us").asc_nulls_last())})
 
 
 def chapters_by_gap(photos: DataFrame, minutes: float = 15) -> DataFrame:
@@ -45,18 +85,30 @@ def winner_and_margin(df: DataFrame) -> DataFrame:
     """Best photo of each burst and how far it leads, 1 where it is alone."""
     w = Window.partitionBy("session_id", "burst").orderBy(F.col("score").desc(), "photo_id")
     r = df.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).where("r = 1")
-    return r.withColumn("margin", F.when(F.col("next").isNull(), F.lit(1.0)).otherwise(F.bround(F.col("score") - F.col("next"), 4))).drop("r", "next")
+    return r.withColumn("margin", F.when(F.col("next").isNull(), F.lit(1.0)).otherwise(half_even(F.col("score") - F.col("next"), 4))).drop("r", "next")
 
 
-def orientation_alternates(df: DataFrame, threshold: float = 0.42) -> DataFrame:
-    """Of each burst the best photo, and the best of the other orientation if it scores enough."""
-    d = df.withColumn("tall", F.col("height") > F.col("width"))
-    w = Window.partitionBy("session_id", "burst").orderBy(F.col("score").desc(), "photo_id")
+#: Least scores of an alternate by how much of a burst is to be delivered (fixed values).
+ALTERNATE_LEVELS = {"few": 0.55, "normal": 0.42, "more": 0.30}
+
+
+def orientation_alternates(df: DataFrame, level: str = "normal") -> DataFrame:
+    """Of each burst the best selectable photo, the best selectable one of the other orientation if it scores
+    enough for the ``level``, and at "more" also the next one of the winner's orientation if it scores
+    1.15 times that. ``selectable`` rows come first (a column; all, where there is none); a burst without
+    any still has its best photo."""
+    threshold = ALTERNATE_LEVELS[level]
+    can = F.col("selectable") if "selectable" in df.columns else F.lit(True)
+    d = df.withColumns({"tall": F.col("height") > F.col("width"), "can": can})
+    w = Window.partitionBy("session_id", "burst").orderBy(F.col("can").desc(), F.col("score").desc(), "photo_id")
     d = d.withColumn("r", F.row_number().over(w)).withColumn("top_tall", F.first("tall").over(w))
-    o = Window.partitionBy("session_id", "burst", "tall").orderBy(F.col("score").desc(), "photo_id")
+    o = Window.partitionBy("session_id", "burst", "tall").orderBy(F.col("can").desc(), F.col("score").desc(), "photo_id")
     d = d.withColumn("o", F.row_number().over(o))
-    role = F.when(F.col("r") == 1, "winner").when((F.col("tall") != F.col("top_tall")) & (F.col("o") == 1) & (F.col("score") >= threshold), "alternate")
-    return d.withColumn("role", role).where("role is not null").drop("r", "o", "top_tall", "tall")
+    enough = lambda x: F.col("can") & (F.col("score") >= F.lit(x))
+    role = F.when(F.col("r") == 1, "winner").when((F.col("tall") != F.col("top_tall")) & (F.col("o") == 1) & enough(threshold), "alternate")
+    if level == "more":
+        role = F.when((F.col("tall") == F.col("top_tall")) & (F.col("o") == 2) & enough(threshold * 1.15), "alternate").otherwise(role)
+    return d.withColumn("role", role).where("role is not null").drop("r", "o", "top_tall", "tall", "can")
 
 
 def highlights(df: DataFrame, frac: float = 0.10) -> DataFrame:
@@ -94,11 +146,15 @@ def lab_classes(df: DataFrame, alt: float = 0.90, eye: float = 0.5) -> DataFrame
 
 
 def quota_fill(df: DataFrame, frac: float = 0.35, heroes: int = 55) -> DataFrame:
-    """Winners first, then alternates, then the rest by score, to a share of each session; the first are heroes."""
+    """Winners first, then alternates (those of another orientation than the burst's winner before others),
+    then the rest by score, to a share of each session; the first are heroes."""
     s = Window.partitionBy("session_id")
     tier = F.when(F.col("role") == "winner", 0).when(F.col("role") == "alternate", 1).otherwise(2)
-    d = df.withColumn("r", F.row_number().over(s.orderBy(tier, F.col("score").desc(), "photo_id"))).withColumn("n", F.count("*").over(s))
-    return d.where(F.col("r") <= F.floor(F.col("n") * F.lit(frac))).withColumn("hero", F.col("r") <= heroes).drop("n").withColumn("r", F.col("r").cast("long"))
+    tall = F.col("height") > F.col("width")
+    won = F.max(F.when(F.col("role") == "winner", F.struct("score", (-F.col("photo_id")).alias("id"), tall.alias("tall")))).over(Window.partitionBy("session_id", "burst"))
+    d = df.withColumn("other", (F.col("role") == "alternate") & F.coalesce(won["tall"] != tall, F.lit(False)))
+    d = d.withColumn("r", F.row_number().over(s.orderBy(tier, F.col("other").desc(), F.col("score").desc(), "photo_id"))).withColumn("n", F.count("*").over(s))
+    return d.where(F.col("r") <= F.floor(F.col("n") * F.lit(frac))).withColumn("hero", F.col("r") <= heroes).drop("n", "other").withColumn("r", F.col("r").cast("long"))
 
 
 def chapter_medoid(members: DataFrame) -> DataFrame:
@@ -158,24 +214,49 @@ def folder_finalists(df: DataFrame, n: int = 3) -> DataFrame:
     return d.withColumn("r", F.row_number().over(w).cast("long")).where(F.col("r") <= n).drop("open")
 
 
-def technical_gates(photos: DataFrame, faces: DataFrame, yaw_out: float = 0.5) -> DataFrame:
+#: Limits of the gates (fixed values).
+EAR_CLOSED, BLINK_CLOSED, GAZE_OUT, YAW_OUT, SMILING, SOFT, VIP_SHARE = 0.18, 0.5, 0.35, 0.5, 0.35, 0.5, 0.35
+
+
+def gate_figures(faces: DataFrame, vip_ids: list[int] | None = None) -> DataFrame:
+    """What the gates read of each photo's valid faces: extremes of all and of its leading faces (known ones,
+    else those of a share of the largest face; all, if none leads), and the least sharp leading face."""
+    photo = Window.partitionBy("photo_id")
+    f = vip_weights(faces, vip_ids).withColumn("_top", F.max(F.when(F.col("valid"), F.col("weight"))).over(photo))
+    lead = F.col("valid") & F.when(F.col("_top") >= 3, F.col("weight") >= 3).otherwise(F.col("weight") >= VIP_SHARE)
+    f = f.withColumn("_lead", lead).withColumn("_lead", F.col("valid") & (F.col("_lead") | ~F.max("_lead").over(photo)))
+    of = lambda who, c: F.when(F.col(who), c)
+    figures = []
+    for name, who in (("vip", "_lead"), ("all", "valid")):
+        figures += [F.min(of(who, F.col("ear"))).alias(f"{name}_ear"), F.max(of(who, F.col("blink"))).alias(f"{name}_blink"), F.max(of(who, F.col("gaze_out"))).alias(f"{name}_gaze"), F.max(of(who, F.abs("yaw"))).alias(f"{name}_yaw")]
+    sharp = F.coalesce(F.min(F.when(F.col("weight") >= VIP_SHARE, F.col("sharpness"))), F.min("sharpness"))
+    smile = F.max(of("_lead", F.col("smile_score")))
+    return f.groupBy("photo_id").agg(*figures, smile.alias("vip_smile"), sharp.alias("face_sharp"))
+
+
+def technical_gates(photos: DataFrame, faces: DataFrame, vip_ids: list[int] | None = None, relaxed: bool = False) -> DataFrame:
     """Staged gates inside bursts of two or more. A stage drops those that fail only where some photo
     still in passes and some fails; the first reason stays. Each stage rewrites ``alive`` over the
     same window, so one exchange by session and burst carries them all.
 
-    Stages: flash misfire (only if one is left), closed eyes, gaze away, soft faces.
+    Stages: flash misfire (against the burst's median light), eyes of the leading faces, of all, gaze of
+    the leading faces, of all, a leading face that smiles (not where ``relaxed``), soft faces (against
+    the median of those still in).
     """
-    per = faces.where("valid").groupBy("photo_id").agg(F.min("ear").alias("ear"), F.max("blink").alias("blink"), F.max("gaze_out").alias("gaze"), F.max(F.abs("yaw")).alias("yaw"), F.max("sharpness").alias("face_sharp"))
     w = Window.partitionBy("session_id", "burst")
-    d = photos.join(per, "photo_id", "left").withColumn("n", F.count("*").over(w)).withColumns({"alive": F.lit(True), "reason": F.lit(None).cast("string")})
+    d = photos.join(gate_figures(faces, vip_ids), "photo_id", "left").withColumn("n", F.count("*").over(w)).withColumns({"alive": F.lit(True), "reason": F.lit(None).cast("string")})
+    c = F.col
     mid = F.median("lum").over(w)
-    soft = F.median(F.when(F.col("alive"), F.col("face_sharp"))).over(w)
-    stages = [("flash_misfire", ~((mid >= 0.09) & (F.col("lum") < mid * 0.4))), ("closed_eyes", F.coalesce((F.col("ear") >= 0.2) & (F.col("blink") < 0.5), F.lit(True))),
-              ("looking_away", F.coalesce((F.col("gaze") < 0.5) & (F.col("yaw") <= yaw_out), F.lit(True))), ("soft_face", F.coalesce(F.col("face_sharp") >= soft * 0.5, F.lit(True)))]
-    for name, passes in stages:
-        d = d.withColumn("ok", passes)
-        good = F.count_if(F.col("alive") & F.col("ok")).over(w)
-        bad = F.count_if(F.col("alive") & ~F.col("ok")).over(w)
-        d = d.withColumn("drop", (F.col("n") > 1) & (good > 0) & (bad > 0) & F.col("alive") & ~F.col("ok"))
-        d = d.withColumns({"reason": F.when(F.col("drop"), F.lit(name)).otherwise(F.col("reason")), "alive": F.col("alive") & ~F.col("drop")})
+    soft = F.median(F.when(c("alive"), c("face_sharp"))).over(w)
+    eyes = lambda who: ~((c(f"{who}_ear") < EAR_CLOSED) | (c(f"{who}_blink") > BLINK_CLOSED))
+    gaze = lambda who: ~((c(f"{who}_gaze") > GAZE_OUT) | (c(f"{who}_yaw") > YAW_OUT))
+    stages = [("flash_misfire", ~((mid >= 0.09) & (c("lum") < mid * 0.4))), ("closed_eyes", eyes("vip")), ("closed_eyes", eyes("all")), ("looking_away", gaze("vip")), ("looking_away", gaze("all"))]
+    if not relaxed:  # without faces nobody smiles
+        stages.append(("vip_no_smile", F.coalesce(c("vip_smile"), F.lit(0.0)) >= SMILING))
+    for name, passes in [*stages, ("soft_face", c("face_sharp") >= soft * SOFT)]:
+        d = d.withColumn("ok", F.coalesce(passes, F.lit(True)))
+        good = F.count_if(c("alive") & c("ok")).over(w)
+        bad = F.count_if(c("alive") & ~c("ok")).over(w)
+        d = d.withColumn("drop", (c("n") > 1) & (good > 0) & (bad > 0) & c("alive") & ~c("ok"))
+        d = d.withColumns({"reason": F.when(c("drop"), F.lit(name)).otherwise(c("reason")), "alive": c("alive") & ~c("drop")})
     return d.select("photo_id", "session_id", "burst", "alive", "reason")

@@ -5,17 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import rules, windows
+from ..functions.session import written
+from ..operators import ranking, rules, windows
 
 
-def decide(photos: DataFrame, faces: DataFrame, gap: float = 4.0, target: float = 0.35) -> DataFrame:
-    """Bursts, gates, scores, winners, quota. Every step is keyed by session, then burst."""
-    d = windows.gap_bursts(photos, gap).withColumns({"score": rules.cold_score(F.col("blur_score"), F.col("aesthetic_score")), "lum": F.lit(0.02) + F.col("k") / F.lit(120.0)})
-    gates = windows.technical_gates(d, faces, yaw_out=15.0).select("photo_id", "alive", "reason")
-    d = d.join(gates, "photo_id")
-    roles = windows.prune_burst(d.where("alive")).select("photo_id", "role")
+def decide(photos: DataFrame, faces: DataFrame, expressions: DataFrame, gap: float = 4.0, target: float = 0.35) -> DataFrame:
+    """Bursts, gates, scores with their bonuses, winners, quota, labels. Every step is keyed by session, then
+    burst.
+
+    ``photos`` has its light as ``lum`` and ``clip``; ``expressions`` the counts of a photo's valid faces
+    (valid_faces, closed, away, smiling, max_yaw, gaze, vip).
+    """
+    c, none = F.col, {"valid_faces": 0, "closed": 0, "away": 0, "smiling": 0, "max_yaw": 0.0, "gaze": 0.5, "vip": 0}
+    keys = ["session_id", "burst"]
+    d = windows.gap_bursts(photos, gap).join(expressions, "photo_id", "left").fillna(none)
+    mates = d.groupBy(*keys).agg(F.count("*").alias("mates"))
+    d = d.join(mates, keys)
+    score = rules.hero_bonus(rules.cold_score(c("blur_score"), c("aesthetic_score")), c("vip") > 0, c("mates"), c("valid_faces"), c("max_yaw"), c("gaze"), c("closed"), c("away"), c("smiling"))
+    d = d.withColumn("score", score).join(windows.technical_gates(d, faces).select("photo_id", "alive", "reason"), "photo_id")
+    d = written(d)  # read by each step below
+    won = ranking.burst_winners(d).select("photo_id", "decided_by", F.lit(True).alias("won"))
+    # The burst's winner stands first, whoever scores best.
+    d = d.join(won, "photo_id", "left").withColumn("ranked", F.when(c("won"), c("score") + 1).otherwise(c("score")))
+    roles = windows.prune_burst(d.where("alive").select("photo_id", *keys, "ranked").withColumnRenamed("ranked", "score")).select("photo_id", "role")
     d = d.join(roles, "photo_id", "left").withColumn("role", F.coalesce("role", F.lit("rejected")))
+    d = written(d)
     kept = windows.quota_fill(d.where("role <> 'rejected'"), target).select("photo_id", "hero")
     d = d.join(kept, "photo_id", "left")
-    label = F.when(F.col("hero"), "highlighted").when(F.col("hero").isNotNull(), "selected").when(F.col("role") != "rejected", "alternative").when(F.col("reason") == "closed_eyes", "closed_eyes").otherwise("duplicates")
-    return d.select("photo_id", "session_id", F.col("burst").cast("long").alias("burst"), F.round("score", 6).alias("score"), label.alias("label"), "reason")
+    trash = rules.trash_flag(F.lit(False), c("blur_score"), c("blur_score"), c("lum"), c("clip"), c("reason"))
+    label = rules.final_label(F.lit(False), trash, c("closed") > 0, F.coalesce("hero", F.lit(False)), c("hero").isNotNull(), c("role") != "rejected")
+    return d.select("photo_id", "session_id", c("burst").cast("long").alias("burst"), F.round("score", 6).alias("score"), label.alias("label"), "reason", "decided_by")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import duck, view
-from .operators import aggs, joins, learn, rules, sessions, windows
+from .operators import aggs, joins, learn, rules, sessions, story, windows
 from .plans.decide import decide
 from .sources import tables
 from .streaming import streams
@@ -44,6 +44,17 @@ def _scored(spark, d):
     return p.withColumn("burst", F.col("burst").cast("long"))
 
 
+def face_vectors(spark, d):
+    """Faces with vectors of their own: mostly their person's, a little their photo's."""
+    f = view(spark, d, "v_faces").select("session_id", "photo_id", F.col("face_index").cast("int").alias("face_index"), "identity_id")
+    e = spark.table("embeddings").select("vec_id", "embedding")
+    n = F.lit(e.count())
+    who = F.pmod(F.xxhash64("session_id") + F.col("identity_id"), n)
+    f = f.withColumns({"p": who, "q": (F.col("photo_id") * 3 + F.col("face_index")) % n})
+    f = f.join(e.select(F.col("vec_id").alias("p"), F.col("embedding").alias("own")), "p").join(e.select(F.col("vec_id").alias("q"), F.col("embedding").alias("light")), "q")
+    return f.select("session_id", "photo_id", "face_index", "identity_id", F.zip_with("own", "light", lambda x, y: x.cast("double") + y.cast("double") * 0.2).alias("vec"))
+
+
 def _history(spark, d):
     h = rules.is_real_crop(rules.crop_descriptors(view(spark, d, "v_history")))
     return h.withColumns({"label": rules.classify_history(F.col("rating"), F.col("pick")), "extreme": rules.is_extreme_develop(F.col("exposure"))})
@@ -112,9 +123,10 @@ def second_pass_rules(spark, d):
     return rules.second_pass_rules(view(spark, d, "v_photos").select("photo_id", "session_id", "face_count"), view(spark, d, "v_faces").select("photo_id", "w", "confidence"))
 
 
-@_query("WITH d AS (SELECT *, CAST(k AS DOUBLE) / #500.0# AS margin FROM v_decisions) SELECT count(*) AS all_photos, count(*) FILTER (label = 'selected') AS recommended, count(*) FILTER (label = 'duplicates') AS repeated, count(*) FILTER (label IN ('closed_eyes', 'blurry')) AS discards, count(*) FILTER (margin < 0.05) AS doubtful FROM d")
+@_query("""WITH d AS (SELECT *, CAST(k AS DOUBLE) / #500.0# AS margin, photo_id % 8 = 0 AS bw FROM v_decisions) SELECT count(*) AS all_photos, count(*) FILTER (label IN ('selected', 'highlighted')) AS recommended, count(*) FILTER (label = 'duplicates') AS repeated,
+ count(*) FILTER (label IN ('closed_eyes', 'blurry')) AS discards, count(*) FILTER (margin < 0.05) AS doubtful, count(*) FILTER (bw) AS black_white, count(*) FILTER (label = 'alternative') AS alternatives FROM d""")
 def grid_facets(spark, d):
-    return rules.grid_facets(view(spark, d, "v_decisions").withColumn("margin", F.col("k") / F.lit(500.0)))
+    return rules.grid_facets(view(spark, d, "v_decisions").withColumns({"margin": F.col("k") / F.lit(500.0), "black_white": F.col("photo_id") % 8 == 0}))
 
 
 @_query("SELECT a.session_id, a.photo_id AS a, b.photo_id AS b, CAST(bit_count(xor(a.phash, b.phash)) AS BIGINT) AS hamming FROM v_hashed a JOIN v_hashed b ON a.session_id = b.session_id AND a.scene_type = b.scene_type AND a.face_count = b.face_count AND (b.t_us > a.t_us OR (b.t_us = a.t_us AND a.photo_id < b.photo_id)) AND b.t_us - a.t_us <= 10000000 WHERE coalesce(a.burst_id = b.burst_id, false) OR b.t_us - a.t_us <= 1500000 OR bit_count(xor(a.phash, b.phash)) + (b.t_us - a.t_us) / #5000000.0# * #6.0# <= 12")
@@ -167,10 +179,11 @@ def knn(spark, d):
     return joins.knn(e.where("vec_id % 20 = 0"), e, 10).select("query", "vec_id", "rank", _r("score"))
 
 
-@_query("WITH c AS (SELECT *, chapter_of AS chapter FROM (SELECT photo_id, k % 5 AS chapter_of FROM v_photos)) SELECT photo_id, CASE WHEN photo_id % 9 = 0 AND photo_id % 7 < 5 THEN CAST(photo_id % 7 AS INT) ELSE chapter END AS chapter FROM c")
+@_query("""WITH c AS (SELECT photo_id, session_id, k % 5 AS chapter FROM v_photos), m AS (SELECT c.photo_id, c.session_id, CASE WHEN c.photo_id % 9 = 0 AND EXISTS (SELECT 1 FROM c x WHERE x.session_id = c.session_id AND x.chapter = c.photo_id % 7) THEN CAST(c.photo_id % 7 AS INT) ELSE chapter END AS chapter FROM c)
+SELECT *, count(*) OVER (PARTITION BY session_id, chapter) AS n FROM m""")
 def apply_overrides(spark, d):
-    m = view(spark, d, "v_photos").select("photo_id", (F.col("k") % 5).alias("chapter"))
-    return joins.apply_overrides(m, m.where("photo_id % 9 = 0").select("photo_id", (F.col("photo_id") % 7).cast("int").alias("target")))
+    m = view(spark, d, "v_photos").select("photo_id", "session_id", (F.col("k") % 5).alias("chapter"))
+    return story.apply_overrides(m, m.where("photo_id % 9 = 0").select("photo_id", (F.col("photo_id") % 7).cast("int").alias("target")))
 
 
 @_query("WITH v AS (SELECT CASE WHEN (label = 'selected') = (truth = 'selected') THEN 'agree' WHEN truth = 'selected' THEN 'rescued' ELSE 'purged' END AS verdict FROM v_decisions) SELECT verdict, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM v GROUP BY verdict")
@@ -178,11 +191,14 @@ def compare_selections(spark, d):
     return joins.compare_selections(view(spark, d, "v_decisions").withColumns({"old": F.col("label") == "selected", "new": F.col("truth") == "selected"}), "old", "new")
 
 
-@_query("""WITH s AS (SELECT DISTINCT a.stem_path, x.label FROM (SELECT photo_id AS winner, photo_id + 3 AS loser FROM v_photos WHERE photo_id % 10 = 0) du CROSS JOIN LATERAL (SELECT du.winner AS id, 'selected' AS label UNION ALL SELECT du.loser, 'duplicates') x JOIN v_files a ON a.photo_id = x.id)
-SELECT DISTINCT f.photo_id, s.label FROM s JOIN v_files f USING (stem_path)""")
+@_query("""WITH v AS (SELECT photo_id, CASE WHEN photo_id % 20 <> 0 THEN CAST(k AS DOUBLE) END AS dev FROM v_files), du AS (SELECT photo_id AS winner, photo_id + 3 AS loser FROM v_files WHERE photo_id % 10 = 0),
+j AS (SELECT winner, loser, w.dev AS wd, l.dev AS ld FROM du LEFT JOIN v w ON w.photo_id = winner LEFT JOIN v l ON l.photo_id = loser),
+x AS (SELECT winner AS id, 'selected' AS label, coalesce(wd, ld) AS develop FROM j UNION ALL SELECT loser, 'duplicates', ld FROM j)
+SELECT DISTINCT f.photo_id, x.label, x.develop FROM x JOIN v_files a ON a.photo_id = x.id JOIN v_files f ON f.stem_path = a.stem_path""")
 def duel_rewrite(spark, d):
     f = view(spark, d, "v_files")
-    return joins.duel_rewrite(f.where("photo_id % 10 = 0").select(F.col("photo_id").alias("winner"), (F.col("photo_id") + 3).alias("loser")), f)
+    develops = f.where("photo_id % 20 <> 0").select("photo_id", F.col("k").cast("double").alias("develop"))
+    return joins.duel_rewrite(f.where("photo_id % 10 = 0").select(F.col("photo_id").alias("winner"), (F.col("photo_id") + 3).alias("loser")), f, develops)
 
 
 @_query("SELECT label, count(*) AS n FROM v_decisions GROUP BY label")
@@ -267,9 +283,9 @@ def class_readiness(spark, d):
     return aggs.class_readiness(view(spark, d, "v_labels"))
 
 
-@_query("WITH x AS (SELECT s.photo_id, s.session_id, s.burst, h.exposure, l.wb_temp FROM v_scored s JOIN v_history h USING (photo_id) JOIN v_light l USING (photo_id)), g AS (SELECT session_id, burst, round_even(median(exposure), 2) AS exposure, round_even(median(wb_temp), 1) AS temp FROM x GROUP BY session_id, burst HAVING count(*) > 1) SELECT x.session_id, x.burst, photo_id, g.exposure, g.temp FROM x JOIN g ON x.session_id = g.session_id AND x.burst = g.burst")
+@_query("WITH x AS (SELECT s.photo_id, s.session_id, s.burst, h.exposure, l.wb_temp, l.wb_tint FROM v_scored s JOIN v_history h USING (photo_id) JOIN v_light l USING (photo_id)), g AS (SELECT session_id, burst, round_even(median(exposure), 2) AS exposure, round_even(median(wb_temp), 1) AS temp, round_even(median(wb_tint), 1) AS tint FROM x GROUP BY session_id, burst HAVING count(*) > 1) SELECT x.session_id, x.burst, photo_id, g.exposure, g.temp, g.tint FROM x JOIN g ON x.session_id = g.session_id AND x.burst = g.burst")
 def harmonise_cluster(spark, d):
-    x = _scored(spark, d).select("photo_id", "session_id", "burst").join(view(spark, d, "v_history").select("photo_id", "exposure"), "photo_id").join(view(spark, d, "v_light").select("photo_id", "wb_temp"), "photo_id")
+    x = _scored(spark, d).select("photo_id", "session_id", "burst").join(view(spark, d, "v_history").select("photo_id", "exposure"), "photo_id").join(view(spark, d, "v_light").select("photo_id", "wb_temp", "wb_tint"), "photo_id")
     return aggs.harmonise_cluster(x)
 
 
@@ -381,7 +397,9 @@ def prune_burst(spark, d):
     return windows.prune_burst(_scored(spark, d)).select("photo_id", "session_id", "burst", "role")
 
 
-@_query(PRUNED + ", q AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY CASE role WHEN 'winner' THEN 0 WHEN 'alternate' THEN 1 ELSE 2 END, score DESC, photo_id) AS r, count(*) OVER (PARTITION BY session_id) AS n FROM p) SELECT photo_id, session_id, r, r <= 55 AS hero FROM q WHERE r <= floor(n * #0.35#)")
+@_query(PRUNED + """, o AS (SELECT p.*, s.height > s.width AS tall, first_value(s.height > s.width) OVER (PARTITION BY p.session_id, p.burst ORDER BY role = 'winner' DESC, p.score DESC, p.photo_id) AS won FROM p JOIN v_scored s USING (photo_id)),
+q AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY CASE role WHEN 'winner' THEN 0 WHEN 'alternate' THEN 1 ELSE 2 END, CASE WHEN role = 'alternate' AND tall <> won THEN 0 ELSE 1 END, score DESC, photo_id) AS r, count(*) OVER (PARTITION BY session_id) AS n FROM o)
+SELECT photo_id, session_id, r, r <= 55 AS hero FROM q WHERE r <= floor(n * #0.35#)""")
 def quota_fill(spark, d):
     return windows.quota_fill(windows.prune_burst(_scored(spark, d))).select("photo_id", "session_id", "r", "hero")
 
@@ -472,7 +490,9 @@ def missing(spark, d):
 
 @_query()
 def decision_pipeline(spark, d):
-    return decide(view(spark, d, "v_photos"), view(spark, d, "v_faces"))
+    p = view(spark, d, "v_judged").select("photo_id", "lum").join(view(spark, d, "v_photos"), "photo_id").withColumn("clip", F.col("k") / F.lit(100.0))
+    view(spark, d, "v_judged")
+    return decide(p, spark.table("v_gate_faces"), spark.table("v_expressions"))
 
 
 @_query()
@@ -483,7 +503,7 @@ def light_sessions(spark, d):
 @_query()
 def resolve_duplicates(spark, d):
     p = view(spark, d, "v_hashed")
-    return sessions.resolve_duplicates(p.select("photo_id", "t_us"), joins.exact_duplicate_pairs(p))
+    return sessions.resolve_duplicates(p.select("photo_id", "session_id", "t_us"), joins.exact_duplicate_pairs(p))
 
 
 @_query()
@@ -498,8 +518,7 @@ def coverage_promote(spark, d):
 
 @_query()
 def assign_identities(spark, d):
-    f = view(spark, d, "v_faces").select("session_id", "photo_id", F.col("face_index").cast("int").alias("face_index"), "identity_id")
-    return sessions.assign_identities(f.join(spark.table("embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vec")), F.col("identity_id") == F.col("v")))
+    return sessions.assign_identities(face_vectors(spark, d))
 
 
 @_query()

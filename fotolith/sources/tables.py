@@ -69,8 +69,10 @@ def refresh_mtimes(cache: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def build_snapshot(decisions: DataFrame) -> DataFrame:
-    """Labelled rows without an error, and their linked RAW files with the same label."""
-    return decisions.where("label is not null and not error").select(F.explode(F.array_compact(F.array("photo_id", "linked_raw"))).alias("photo_id"), "label")
+    """Labelled rows without an error, and their linked RAW files with the same label, develop, crop and
+    identities, as far as the table has these."""
+    same = [c for c in ("label", "develop", "crop", "identities") if c in decisions.columns]
+    return decisions.where("label is not null and not error").select(F.explode(F.array_compact(F.array("photo_id", "linked_raw"))).alias("photo_id"), *same)
 
 
 def export_outcomes(decisions: DataFrame, mapping: DataFrame, existing: DataFrame, overwrite: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +28,16 @@ def telemetry_stream(events: DataFrame, window: str = "1 hour", slide: str | Non
 
 
 def preference_stream(events: DataFrame, path: str, checkpoint: str):
-    """Append +1 and -1 examples of duel events, each event once: a batch that runs again overwrites its
-    own folder, so the sink holds every example exactly once."""
+    """Append +1 and -1 examples of duel events, each event once, also where it comes again in a later batch:
+    a batch leaves out what other batches' folders hold, and one that runs again overwrites its own."""
 
     def put(batch: DataFrame, number: int) -> None:
         both = F.array(F.struct(F.col("winner").alias("photo_id"), F.lit(1).alias("y")), F.struct(F.col("loser").alias("photo_id"), F.lit(-1).alias("y")))
-        batch.dropDuplicates(["event_id"]).select("event_id", F.explode(both).alias("e")).select("event_id", "e.*").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        new = batch.dropDuplicates(["event_id"])
+        try:
+            new = new.join(batch.sparkSession.read.parquet(path).where(F.col("batch") != number).select("event_id"), "event_id", "left_anti")
+        except AnalysisException:  # nothing is written yet
+            pass
+        new.select("event_id", F.explode(both).alias("e")).select("event_id", "e.*").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
