@@ -2,8 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which :func:`run` writes as Parquet
 to the shared folder and reads again as the next stage's docs. All stages but the last return the
-columns of ``documents``. Stages of one pass carry the columns; where rows are grouped or ordered,
-verdicts go back to them by a row key, since doc_ids may be null or repeat.
+columns of ``documents``. Verdicts go back to rows by a row key, since doc_ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -17,8 +16,6 @@ from fotolith.llm.common import table, written
 from fotolith.llm.queries import language_model, tokenizer_path, word_count
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: What passes through the operators that keep a row a row.
-CARRIED = COLUMNS[1:]
 ROW = "_row"
 
 
@@ -37,28 +34,37 @@ def keyed(docs: DataFrame) -> DataFrame:
     return at.join(F.broadcast(written(files, "files")), F.col("_file") == F.col("_name")).select(*docs.columns, (F.shiftleft("_number", 40) + F.col("_at")).alias(ROW))
 
 
+def keep(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of the keyed ``rows`` that ``wanted`` holds."""
+    return rows.join(wanted.select(ROW), ROW, "left_semi").select(*COLUMNS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the field tells, code-switched ones too; those that are ``und``, without a
     letter, go. If the learning folds have no lang, no language can be told and all with a letter stay.
 
-    One pass over the rows, which carries their columns. Null texts and texts without a letter go; a
-    row's verdict depends on its text alone, so null and repeated doc_ids and equal rows are each
-    judged by themselves; an empty table gives an empty one; other columns are left behind.
+    Null texts and texts without a letter go; a row's verdict depends on its text alone and goes back
+    to it by a row key, so null and repeated doc_ids and equal rows are each judged by themselves; an
+    empty table gives an empty one; other columns are left behind. (Carrying the texts through the
+    Python workers spares the join, but took executors over their memory.)
     """
     model = language_model(docs)
     if not model.labels:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
-    return langid.predict(docs, model, CARRIED).where("lang_pred <> 'und'").select(*COLUMNS)
+    rows = keyed(docs)
+    told = langid.predict(rows.select(F.col(ROW).alias("doc_id"), "text"), model).withColumnRenamed("doc_id", ROW)
+    return keep(rows, told.where("lang_pred <> 'und'"))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the forest.
 
-    The rows carry their columns through. Null texts fail; null doc_ids can't be labelled but are
-    judged; rows of one doc_id are each judged by their own text and equal rows alike; an empty table
-    gives an empty one; other columns are left behind.
+    Null texts fail; null doc_ids can't be labelled but are judged; rows of one doc_id are each judged by
+    their own text, under a row key, and equal rows alike; an empty table gives an empty one; other
+    columns are left behind.
     """
-    return quality_rules.quality_rules(docs, table(spark, sf_dir, "labels"), carry=CARRIED).where("kept").select(*COLUMNS)
+    rows = keyed(docs)
+    return keep(rows, quality_rules.quality_rules(rows, table(spark, sf_dir, "labels"), carry=(ROW,)).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +79,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     group = neardup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW))
     kept = group.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first.alias("first")).select(f"first.{ROW}")
-    return rows.join(kept, ROW, "left_semi").select(*COLUMNS)
+    return keep(rows, kept)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
