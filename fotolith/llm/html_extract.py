@@ -305,7 +305,7 @@ _FRAMES = (("article",), ("main",), ("main", "article"), ("div content",), ("div
 def varied(page: list[Block], spare: list[str], rng: np.random.Generator) -> list[tuple[Block, bool]]:
     """A training page rebuilt, each block with its label: its main element renamed, and boilerplate of
     other kinds put before, inside and after its main text, so that one site's template isn't all
-    that is learned. A third of the pages have no telling tag or name at all: there boilerplate is
+    that is learned. A third of the rebuilt pages have no telling tag or name at all: there boilerplate is
     short or links, as it mostly is, and only words, shape and the blocks around can tell it."""
     main = [b for b in page if marked(b.path)]
     if not main or rng.random() < 0.25:
