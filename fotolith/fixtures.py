@@ -55,6 +55,17 @@ VIEWS = {
   coalesce(e.gaze, #0.5#) AS gaze, coalesce(e.vip, 0) AS vip FROM v_scored s LEFT JOIN v_expressions e ON e.photo_id = s.photo_id""",
     "v_decisions": """SELECT photo_id, session_id, k, CASE WHEN k % 3 = 0 THEN 'selected' WHEN k % 5 = 0 THEN 'alternative' WHEN k % 7 = 0 THEN 'closed_eyes' ELSE 'duplicates' END AS label,
   CASE WHEN photo_id % 4 = 0 THEN 'selected' ELSE 'duplicates' END AS truth FROM v_photos""",
+    "v_portraits": """SELECT f.*, CASE (photo_id + face_index) % 6 WHEN 0 THEN 'closed' WHEN 1 THEN 'partially_open' WHEN 2 THEN 'mid_blink' WHEN 3 THEN 'covered' WHEN 4 THEN 'glasses' ELSE 'open' END AS left_state,
+  CASE (photo_id * 7 + face_index * 3) % 4 WHEN 0 THEN 'partially_open' WHEN 1 THEN 'closed' ELSE 'open' END AS right_state, ear * 2 AS left_ear, ear AS right_ear, photo_id % 17 = 0 AS kissing, CAST(photo_id % 45 - 15 AS DOUBLE) AS head_pitch,
+  blink AS mouth_open, sharpness / #45.0# - #0.5# AS focus_raw, w AS h FROM v_faces f""",
+    "v_lens": """SELECT photo_id, session_id, blur_score * 5 AS subject, CAST((photo_id * 29) % 1000 AS DOUBLE) AS ground, CAST(photo_id % 10 AS DOUBLE) / #8.0# AS dispersion FROM v_photos""",
+    "v_batches": """SELECT folder_id, CAST(2000 + folder_id % 25 AS INT) AS year, ' Studio A ' AS creator, CASE WHEN folder_id % 5 <> 0 THEN '(c) {{year}} {{creator}} for {{client}}' END AS notice, CASE folder_id % 3 WHEN 0 THEN 'wedding' WHEN 1 THEN 'birthday' ELSE 'other' END AS event_type,
+  CASE folder_id % 4 WHEN 0 THEN '15' WHEN 1 THEN ' 16 años ' WHEN 2 THEN '' END AS age, CASE WHEN folder_id % 7 <> 0 THEN concat(' Client ', CAST(folder_id % 11 AS STRING)) END AS client, CASE WHEN folder_id % 2 = 0 THEN 'Quito' ELSE 'Lima ' END AS city,
+  CASE WHEN folder_id % 3 <> 2 THEN 'Portrait, PARTY,,quito , family' END AS tags FROM v_photos GROUP BY folder_id""",
+    "v_telemetry": """SELECT photo_id AS event_id, folder_id AS install, CASE k % 7 WHEN 0 THEN 'session_start' WHEN 1 THEN 'user_override' WHEN 2 THEN 'duel_resolved' WHEN 3 THEN 'ingestion_batch' WHEN 4 THEN 'clustering_complete' WHEN 5 THEN 'performance_snapshot' ELSE 'style_applied' END AS kind,
+  CASE photo_id % 4 WHEN 0 THEN 'mac' WHEN 1 THEN 'win' WHEN 2 THEN 'win' END AS os, CASE WHEN photo_id % 6 <> 0 THEN concat('gpu ', CAST(photo_id % 8 AS STRING)) END AS gpu, CASE WHEN photo_id % 2 = 0 THEN 'false_negative' ELSE 'false_positive' END AS override_type,
+  CASE WHEN photo_id % 5 <> 0 THEN blur_score END AS blur, face_count AS faces, CAST(k AS DOUBLE) / #10.0# AS amount, concat('preset ', CAST(photo_id % 9 AS STRING)) AS preset FROM v_photos""",
+    "v_reminders": """SELECT photo_id AS event_id, folder_id AS directory, t_us AS at_us, CASE k % 9 WHEN 0 THEN 'dismiss' WHEN 1 THEN 'snooze' WHEN 2 THEN 'snooze' WHEN 3 THEN 'sync' WHEN 4 THEN 'export' ELSE 'view' END AS action, CAST(k % 5 AS BIGINT) AS hours FROM v_photos""",
 }
 
 

@@ -88,12 +88,24 @@ def filter_by_identity(photos: DataFrame, faces: DataFrame, ids: list[int]) -> D
     return photos.join(faces.where(F.col("identity_id").isin(ids)).select("photo_id").distinct(), "photo_id", "left_semi")
 
 
-def import_client_selection(snapshot: DataFrame, names: DataFrame) -> DataFrame:
-    """The client's picks become selected with four stars; nothing is demoted."""
-    hit = names.select(F.lower("stem").alias("s")).distinct().withColumn("hit", F.lit(True))
-    j = snapshot.join(hit, F.lower(snapshot["stem"]) == F.col("s"), "left")
-    on = F.coalesce("hit", F.lit(False))
-    return j.withColumn("label", F.when(on, "selected").otherwise(F.col("label"))).withColumn("stars", F.when(on, 4).otherwise(F.col("stars"))).drop("s", "hit")
+def import_client_selection(snapshot: DataFrame, names: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """The client's picks become selected, with four stars, red and flagged; nothing is demoted. Names without
+    a photo in the snapshot are sought in the full ``listing`` of files. ``promoted`` tells the rows hit."""
+    wanted = names.select(F.lower("stem").alias("_s")).distinct()
+    snapshot = snapshot.withColumn("_s", F.lower("stem"))
+    j = snapshot.join(wanted.withColumn("promoted", F.lit(True)), "_s", "left").withColumn("promoted", F.coalesce("promoted", F.lit(False)))
+    if listing is not None:
+        rest = listing.withColumn("_s", F.lower("stem")).join(wanted, "_s", "left_semi").join(snapshot.select("_s").distinct(), "_s", "left_anti")
+        j = j.unionByName(rest.withColumn("promoted", F.lit(True)), allowMissingColumns=True)
+    new = {"label": "selected", "stars": 4, "color": "Red", "flag": "pick"}
+    return j.withColumns({k: F.when(F.col("promoted"), v).otherwise(F.col(k) if k in j.columns else F.lit(None)) for k, v in new.items()}).drop("_s")
+
+
+def client_selection_report(names: DataFrame, result: DataFrame) -> DataFrame:
+    """How many photos were promoted and how many of the client's names match none."""
+    found = result.where("promoted").select(F.lower("stem").alias("stem")).distinct()
+    missing = names.select(F.lower("stem").alias("stem")).distinct().join(found, "stem", "left_anti").agg(F.count("*").alias("not_found"))
+    return result.agg(F.count_if("promoted").alias("updated")).join(missing)
 
 
 def nearest_city(photos: DataFrame, cities: DataFrame, max_km: float = 35.0) -> DataFrame:

@@ -46,9 +46,10 @@ def elo_tiebreak(candidates: DataFrame, tie: float = TIE) -> DataFrame:
     return d.select("session_id", "burst", who.alias("photo_id"), best.alias("elo"))
 
 
-def burst_winners(judged: DataFrame, tie: float = TIE) -> DataFrame:
+def burst_winners(judged: DataFrame, tie: float = TIE, taste: bool = False) -> DataFrame:
     """``session_id, burst, photo_id, margin, decided_by`` of each burst, of its photos that are ``alive``: the
-    best by score, or by the tie-break where two are as good; "gate" where all others were dropped."""
+    best by score, or by the tie-break where two are as good; "gate" where all others were dropped. With
+    ``taste`` the score is a learned one, and what it decides says so."""
     keys = ["session_id", "burst"]
     judged = judged.select(*keys, "photo_id", "alive", "score", "closed", "smiling", "away", "blur_score", "aesthetic_score")
     size = judged.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -57,7 +58,7 @@ def burst_winners(judged: DataFrame, tie: float = TIE) -> DataFrame:
     best = alive.withColumns({"r": F.row_number().over(w), "next": F.lead("score").over(w)}).where("r = 1")
     elo = elo_tiebreak(alive, tie).select(*keys, F.col("photo_id").alias("elo_id"))
     margin = F.when(F.col("next").isNull(), F.lit(1.0)).otherwise(half_even(F.col("score") - F.col("next"), 4))
-    decider = F.when(F.col("n") == 1, F.lit(None).cast("string")).when(F.col("elo_id").isNotNull(), "elo").when(F.col("next").isNull(), "gate").otherwise("score")
+    decider = F.when(F.col("n") == 1, F.lit(None).cast("string")).when(F.col("elo_id").isNotNull(), "elo").when(F.col("next").isNull(), "gate").otherwise("taste" if taste else "score")
     return best.join(elo, keys, "left").join(size, keys).select(*keys, F.coalesce("elo_id", "photo_id").alias("photo_id"), margin.alias("margin"), decider.alias("decided_by"))
 
 

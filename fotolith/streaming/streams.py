@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+#: Hours of quiet after a sync (fixed value).
+QUIET = 8
 
 
 def coalesce_deltas(deltas: DataFrame, fields: list[str], debounce: str = "50 milliseconds", watermark: str = "10 minutes") -> DataFrame:
@@ -41,3 +48,43 @@ def preference_stream(events: DataFrame, path: str, checkpoint: str):
         new.select("event_id", F.explode(both).alias("e")).select("event_id", "e.*").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def reminders(events: DataFrame, unit: int = 3_600_000_000) -> DataFrame:
+    """``directory, exported_at, remind_after, synced_at, dismissed`` of each exported folder. A new export
+    starts afresh; a snooze moves the reminder by its ``hours``, a sync by eight. ``at_us`` counts in parts of
+    ``unit`` to the hour; of events at one time the larger event_id is the later."""
+    c = F.col
+    e = events.where(c("action").isin("export", "snooze", "sync", "dismiss")).withColumn("when_", F.struct("at_us", "event_id"))
+    e = e.withColumn("last_", F.max(F.when(c("action") == "export", c("when_"))).over(Window.partitionBy("directory"))).where(c("when_") >= c("last_"))
+    hours = F.when(c("action") == "snooze", c("hours")).when(c("action") == "sync", QUIET).when(c("action") == "export", 0)
+    g = e.groupBy("directory").agg(F.max("last_.at_us").alias("exported_at"), F.max_by(c("at_us") + hours * unit, F.when(hours.isNotNull(), c("when_"))).alias("remind_after"),
+                                   F.max(F.when(c("action") == "sync", c("at_us"))).alias("synced_at"), F.max(c("action") == "dismiss").alias("dismissed"))
+    return g
+
+
+def reminder_stream(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+    """``directory, remind_at`` when event time passes a folder's reminder; a dismissed folder stays quiet until
+    it is exported again. The state of a folder is two numbers. A folder reminds once; a later snooze or sync
+    sets the next reminder. ``ts`` is the event time."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        exported, due = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            state.update((exported, 0))
+            yield pd.DataFrame({"directory": [key[0]], "remind_at": [pd.Timestamp(due, unit="ms")]})
+            return
+        for e in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
+            at = int(e.ts.timestamp() * 1000)
+            if e.action == "export":
+                exported, due = 1, at
+            elif exported and e.action in ("snooze", "sync"):
+                due = at + (int(e.hours) if e.action == "snooze" else QUIET) * 3_600_000
+            elif exported and e.action == "dismiss":
+                exported, due = 0, 0
+        state.update((exported, due))
+        if due:
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+    keyed = events.withWatermark("ts", watermark).groupBy("directory")
+    return keyed.applyInPandasWithState(step, "directory long, remind_at timestamp", "exported int, due long", "update", GroupStateTimeout.EventTimeTimeout)

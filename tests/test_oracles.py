@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from fotolith import registry, registry_more  # noqa: F401  the second adds to the first
+from fotolith import registry, registry_edits, registry_more  # noqa: F401  the others add to the first
 
 SF = "/root/testdata/sf0.001"
 
