@@ -162,7 +162,7 @@ class Block:
         wide = self.hi[rows] - self.lo[rows] + 1
         q = np.repeat(rows, wide)
         w = np.arange(len(q)) - np.repeat(np.cumsum(wide) - wide, wide) + self.lo[q]
-        allowed = np.where(self.cross[q], np.where(self.side[q] == 0, self.sides[1][w], self.sides[0][w]), self.own[q])
+        allowed = self.own[q] & np.where(self.cross[q], np.where(self.side[q] == 0, self.sides[1][w], self.sides[0][w]), _ONES)
         exact, one, more = allowed.copy(), np.zeros(len(q), np.uint64), np.zeros(len(q), np.uint64)
         longer = bool(self.long[rows[0]])
         before, here, after = np.zeros(_LETTERS * self.n_words, np.uint64), self.letters(0), self.letters(1)
