@@ -84,6 +84,18 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.table(name)
 
 
+def _means(sql: str) -> str:
+    """``MEAN(x)`` as a mean over whole numbers of 10^-9: sums of doubles depend on their order."""
+    while (at := sql.find("MEAN(")) >= 0:
+        end, depth = at + 5, 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        x = sql[at + 5:end - 1]
+        sql = f"{sql[:at]}(CAST(sum(CAST(round(({x}) * 1e9) AS HUGEINT)) AS DOUBLE) / (count({x}) * 1e9)){sql[end:]}"
+    return sql
+
+
 def duck(sql: str) -> str:
     """``sql`` after the definitions of the views it reads, for DuckDB."""
     wanted: list[str] = []
@@ -96,7 +108,7 @@ def duck(sql: str) -> str:
 
     need(sql)
     own = [f"{v} AS ({_literal(VIEWS[v].format(**_DUCK), False)})" for v in wanted]
-    sql = _literal(sql, False).strip()
+    sql = _means(_literal(sql, False).strip())
     if sql.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {', '.join([*own, sql[15:]])}"
     if sql.upper().startswith("WITH "):

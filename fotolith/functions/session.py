@@ -8,17 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write to the folder of ``spark.checkpoint.dir`` and read back. Where that is unset a local session
-    gets a temporary folder; on a cluster it is an error."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where that is unset a local session gets a temporary folder; on a
+    cluster it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
         at = "file://" + tempfile.mkdtemp(prefix="fotolith-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

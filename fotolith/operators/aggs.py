@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles, mean, with_quantiles
 from .rules import half_even
 
 
@@ -21,12 +22,17 @@ def learn_recipes(history: DataFrame, fields: tuple[str, ...] = ("exposure", "co
     """Median of each develop field per scene, over positive rows without extreme settings; scenes and
     fields with under ``min_n`` values are left out."""
     long = history.where((F.col("label") == "positive") & ~F.col("extreme") & F.col("scene").isNotNull()).select("scene", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("r")).select("scene", "r.field", "r.value")
-    return long.where("value is not null").groupBy("scene", "field").agg(F.median("value").alias("m"), F.count("*").alias("n")).where(F.col("n") >= min_n).select("scene", "field", half_even(F.col("m"), 3).alias("median"), "n")
+    own = long.where("value is not null")
+    mid = exact_quantiles(own, ["scene", "field"], {"m": (F.col("value"), 0.5)})
+    counts = own.groupBy("scene", "field").agg(F.count("*").alias("n")).where(F.col("n") >= min_n)
+    return with_quantiles(counts, mid, ["scene", "field"]).select("scene", "field", half_even(F.col("m"), 3).alias("median"), "n")
 
 
 def learn_crop_style(history: DataFrame, min_n: int = 15) -> DataFrame:
     real = history.where((F.col("label") == "positive") & F.col("real_crop"))
-    return real.groupBy("scene").agg(*[half_even(F.median(c), 4).alias(f"m_{c}") for c in ("area", "dx", "dy", "angle")], F.count("*").alias("n")).where(F.col("n") >= min_n)
+    mid = exact_quantiles(real, ["scene"], {f"m_{c}": (F.col(c), 0.5) for c in ("area", "dx", "dy", "angle")})
+    counts = real.groupBy("scene").agg(F.count("*").alias("n")).where(F.col("n") >= min_n)
+    return with_quantiles(counts, mid, ["scene"]).select("scene", *[half_even(F.col(f"m_{c}"), 4).alias(f"m_{c}") for c in ("area", "dx", "dy", "angle")], "n")
 
 
 def project_dashboard(files: DataFrame) -> DataFrame:
@@ -87,11 +93,31 @@ def margin_buckets(pairs: DataFrame, cuts: tuple[float, ...] = (0, 0.01, 0.02, 0
     return pairs.withColumn("bucket", b).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("accuracy"))
 
 
+def margin_cumulative(pairs: DataFrame, cuts: tuple[float, ...] = (0.02, 0.05, 0.10, 0.15, 0.20)) -> DataFrame:
+    """For each cut the pairs whose margin is below it: how many, their share of all, and how often the score was
+    right about them (0 where there are none)."""
+    c = F.col
+    below = [F.struct(F.lit(x).alias("below"), F.count_if(c("margin") < x).alias("n"), F.count_if((c("margin") < x) & c("hit")).alias("hits")) for x in cuts]
+    one = pairs.agg(F.count("*").alias("all"), F.array(*below).alias("b")).select("all", F.explode("b").alias("b")).select("all", "b.*")
+    return one.select("below", "n", F.coalesce(F.try_divide("n", "all"), F.lit(0.0)).alias("share"), F.coalesce(F.try_divide("hits", "n"), F.lit(0.0)).alias("accuracy"))
+
+
 def gear_stats(history: DataFrame) -> DataFrame:
-    """Per camera: shots, distinct lenses, mean focal length, quartiles of sensitivity by sorted index."""
-    s = F.sort_array(F.collect_list("iso"))
-    at = lambda q: F.element_at(s, (F.floor(F.size(s) * F.lit(q)) + 1).cast("int"))
-    return history.groupBy("camera").agg(F.count("*").alias("shots"), F.countDistinct("lens").alias("lenses"), F.round(F.avg("focal"), 6).alias("focal"), at(0.25).alias("iso_q1"), at(0.5).alias("iso_q2"), at(0.75).alias("iso_q3"))
+    """Per camera: shots, distinct lenses, means of focal length, stop and sensitivity, and by sorted index the
+    usual range of focal lengths and the quartiles of sensitivity. Zeros count as missing."""
+    c = F.col
+    known = lambda x: F.when(c(x) != 0, c(x))
+    wanted = {"focal_low": (known("focal"), 0.25), "focal_high": (known("focal"), 0.75), "iso_q1": (known("iso"), 0.25), "iso_q2": (known("iso"), 0.5), "iso_q3": (known("iso"), 0.75)}
+    g = history.groupBy("camera").agg(F.count("*").alias("shots"), F.countDistinct("lens").alias("lenses"), *[mean(known(x)).alias(x) for x in ("focal", "fstop", "iso")])
+    return with_quantiles(g, exact_quantiles(history, ["camera"], wanted, index=True), ["camera"])
+
+
+def gear_top(history: DataFrame, n: int = 4) -> DataFrame:
+    """``figure, value, n``: the commonest cameras and lenses of all shots; ties by name."""
+    tops = []
+    for what in ("camera", "lens"):
+        tops.append(history.where(F.col(what) != "").groupBy(F.col(what).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(n).select(F.lit(what).alias("figure"), "value", "n"))
+    return tops[0].unionByName(tops[1])
 
 
 def face_rollup(photos: DataFrame, faces: DataFrame) -> DataFrame:
@@ -166,18 +192,21 @@ def crop_iou_report(df: DataFrame) -> DataFrame:
     ix = F.greatest(F.lit(0.0), F.least(c("crop_right"), F.lit(0.9)) - F.greatest(c("crop_left"), F.lit(0.1)))
     iy = F.greatest(F.lit(0.0), F.least(c("crop_bottom"), F.lit(0.9)) - F.greatest(c("crop_top"), F.lit(0.1)))
     iou = ix * iy / (real + F.lit(0.64) - ix * iy)
-    return df.groupBy("scene").agg(F.count("*").alias("n"), F.round(F.avg(iou), 6).alias("proposed"), F.round(F.avg(real), 6).alias("full_frame"), F.round(F.median(iou), 6).alias("median_proposed"))
+    g = df.groupBy("scene").agg(F.count("*").alias("n"), mean(iou).alias("proposed"), mean(real).alias("full_frame"))
+    return with_quantiles(g, exact_quantiles(df, ["scene"], {"median_proposed": (iou, 0.5)}), ["scene"])
 
 
 def exposure_rule_report(df: DataFrame, bias: float = 0.3) -> DataFrame:
     e = F.col("exposure")
-    return df.groupBy("scene").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(e)), 6).alias("mae_none"), F.round(F.avg(F.abs(e - F.lit(bias))), 6).alias("mae_bias"))
+    return df.groupBy("scene").agg(F.count("*").alias("n"), mean(F.abs(e)).alias("mae_none"), mean(F.abs(e - F.lit(bias))).alias("mae_bias"))
 
 
 def straighten_report(df: DataFrame) -> DataFrame:
     """Mean and median error of leaving the angle, and of both sign conventions of a proposed one."""
     a, p = F.col("crop_angle"), F.col("proposed")
-    return df.agg(F.count("*").alias("n"), F.round(F.avg(F.abs(a)), 6).alias("mae_none"), F.round(F.avg(F.abs(a - p)), 6).alias("mae_same"), F.round(F.avg(F.abs(a + p)), 6).alias("mae_flipped"), F.round(F.median(F.abs(a - p)), 6).alias("median_same"), F.round(F.avg(F.when((F.abs(a) < 0.1) & (F.abs(p) > 1), 1.0).otherwise(0.0)), 6).alias("false_corrections"))
+    over = F.when((F.abs(a) < 0.1) & (F.abs(p) > 1), 1.0).otherwise(0.0)
+    g = df.agg(F.count("*").alias("n"), mean(F.abs(a)).alias("mae_none"), mean(F.abs(a - p)).alias("mae_same"), mean(F.abs(a + p)).alias("mae_flipped"), mean(over).alias("false_corrections"))
+    return with_quantiles(g, exact_quantiles(df, [], {"median_same": (F.abs(a - p), 0.5)}), [])
 
 
 def analysis_audit(df: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Learning from history: scenes, taste, pairwise preference."""
+"""Learning from history: scenes and taste; :mod:`.models` has the logistic models."""
 
 from __future__ import annotations
 
@@ -10,24 +10,101 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.session import written
+
+
+def _vectors(pdf: pd.DataFrame) -> np.ndarray:
+    return np.stack(pdf["vec"].to_numpy()).astype(float)
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres."""
+    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None], 0)
+
+
+def first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ over the rows of a sample."""
+    rng = np.random.default_rng(seed)
+    centres = [sample[rng.integers(len(sample))]]
+    for _ in range(k - 1):
+        d = _distances(sample, np.array(centres)).min(1)
+        centres.append(sample[rng.choice(len(sample), p=d / d.sum())] if d.sum() > 0 else sample[rng.integers(len(sample))])
+    return np.array(centres)
+
+
+def scene_centroids(vecs: DataFrame, k: int = 10, seed: int = 0, starts: int = 10, rounds: int = 50, sample: int = 10_000, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
+    """The k-means centres (k x d) of the least cost among ``starts`` runs, and that cost.
+
+    All starts move together: a round is one pass over ``vecs`` (``vec_id, vec``), in which each task sums its
+    rows by (start, cluster), and only these sums come to the driver, starts x k x d numbers. Starts are
+    drawn by k-means++ from the ``sample`` vectors of smallest hash; the rounds run over all vectors. A cluster
+    that lost its members keeps its centre. A run rests when no centre moves by more than ``tolerance``.
+    """
+    few = vecs.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).select("vec").collect()
+    if not few:
+        return np.zeros((0, 0)), 0.0
+    few = np.array([r[0] for r in few], float)
+    k = max(1, min(k, len(few)))
+    centres = np.array([first_centres(few, k, seed + i) for i in range(starts)])
+    d = centres.shape[2]
+
+    def sums(now: np.ndarray):
+        def run(batches: Iterator) -> Iterator:
+            total = np.zeros((len(now), k, d + 2))
+            for pdf in batches:
+                x = _vectors(pdf)
+                wide = np.column_stack([x, np.ones(len(x))])
+                for s, own in enumerate(now):
+                    far = _distances(x, own)
+                    who = far.argmin(1)
+                    np.add.at(total[s], (who, slice(0, d + 1)), wide)
+                    np.add.at(total[s][:, -1], who, far[np.arange(len(x)), who])
+            yield pd.DataFrame({"v": [total.ravel().tolist()]})
+
+        cells = vecs.select("vec").mapInPandas(run, "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        out = np.zeros(len(now) * k * (d + 2))
+        out[cells["i"].to_numpy()] = cells["v"].to_numpy()
+        return out.reshape(len(now), k, d + 2)
 
-def discover_scenes(vecs: DataFrame, k: int = 10, seed: int = 0, restarts: int = 3) -> DataFrame:
-    """``vec_id, scene, medoid``: k-means of the best of several starts, and each cluster's middle member."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    for _ in range(rounds):
+        total = sums(centres)
+        n = total[:, :, d]
+        new = np.where(n[:, :, None] > 0, total[:, :, :d] / np.maximum(n, 1)[:, :, None], centres)
+        moved = np.abs(new - centres).max()
+        centres = new
+        if moved <= tolerance:
+            break
+    cost = sums(centres)[:, :, -1].sum(1)
+    best = int(cost.argmin())
+    return centres[best], float(cost[best])
+
+
+def assign_scenes(vecs: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``vec_id, scene, d``: the nearest centre of each vector (``vec_id, vec``) and the squared distance."""
+
+    def run(batches: Iterator) -> Iterator:
+        for pdf in batches:
+            if len(pdf):
+                far = _distances(_vectors(pdf), centres)
+                who = far.argmin(1)
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "scene": who.astype(np.int32), "d": far[np.arange(len(pdf)), who]})
+
+    return vecs.select("vec_id", "vec").mapInPandas(run, "vec_id long, scene int, d double")
 
-    data = vecs.where("embedding is not null").select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    n = data.count()
-    if not n:
-        return vecs.sparkSession.createDataFrame([], "vec_id long, scene int, medoid boolean")
-    models = [KMeans(k=max(2, min(k, n)), seed=seed + i).fit(data) for i in range(restarts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in best.clusterCenters()])
-    got = best.transform(data).withColumn("v", vector_to_array("features"))
-    dist = F.aggregate(F.zip_with("v", F.element_at(centres, F.col("prediction") + 1), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    got = got.select("vec_id", F.col("prediction").alias("scene"), dist.alias("d"))
-    mid = got.groupBy("scene").agg(F.min_by("vec_id", F.struct("d", "vec_id")).alias("m"))
-    return got.join(mid, "scene").select("vec_id", "scene", (F.col("vec_id") == F.col("m")).alias("medoid"))
+
+def discover_scenes(vecs: DataFrame, k: int = 10, seed: int = 0, starts: int = 10) -> tuple[DataFrame, DataFrame]:
+    """``vec_id, scene, medoid`` of all vectors (``vec_id, embedding``), and the centres ``scene, centroid, size``; the middle
+    member of a scene is the one nearest to its centre (then the first). Vectors are written once and read
+    in each round. Vectors that are null have no scene."""
+    spark = vecs.sparkSession
+    data = written(vecs.where("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec")))
+    centres, _ = scene_centroids(data, k, seed, starts)
+    if not len(centres):
+        return spark.createDataFrame([], "vec_id long, scene int, medoid boolean"), spark.createDataFrame([], "scene int, centroid array<double>, size long")
+    got = written(assign_scenes(data, centres))
+    mid = got.groupBy("scene").agg(F.min_by("vec_id", F.struct("d", "vec_id")).alias("m"), F.count("*").alias("size"))
+    named = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "scene int, centroid array<double>")
+    return got.join(mid, "scene").select("vec_id", "scene", (F.col("vec_id") == F.col("m")).alias("medoid")), named.join(mid.select("scene", "size"), "scene", "left").na.fill(0, ["size"])
 
 
 @dataclass
@@ -90,22 +167,6 @@ def taste_score(vecs: DataFrame, model: TasteModel) -> DataFrame:
     return vecs.withColumn("taste", score("vec"))
 
 
-def pairwise_eval(pairs: DataFrame, features: list[str], folds: int = 5) -> DataFrame:
-    """Accuracy of a logistic model on signed feature differences, by folds of folders."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    flip = F.pmod(F.xxhash64("winner", "loser"), F.lit(2)) == 1
-    d = pairs.select(F.pmod(F.xxhash64("folder_id"), F.lit(folds)).alias("fold"), flip.cast("double").alias("label"), *[F.when(flip, F.col(f"w_{f}") - F.col(f"l_{f}")).otherwise(F.col(f"l_{f}") - F.col(f"w_{f}")).alias(f) for f in features]).na.fill(0.0)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(maxIter=20)])
-    out = None
-    for k in range(folds):
-        got = pipe.fit(d.where(F.col("fold") != k)).transform(d.where(F.col("fold") == k)).groupBy("fold").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
-        out = got if out is None else out.union(got)
-    return out
-
-
 def feed_examples(history: DataFrame, duels: DataFrame) -> DataFrame:
     """+1 and -1 examples of history labels and duels, each photo and sign once."""
     h = history.where(F.col("label").isin("positive", "negative")).select("photo_id", F.when(F.col("label") == "positive", 1).otherwise(-1).alias("y"))

@@ -12,22 +12,26 @@ GAME, START, TIE = 32.0, 1500.0, 0.025
 
 
 def advantage(a: Column, b: Column) -> Column:
-    """How far one photo's faces, sharpness and looks are ahead of another's."""
+    """How far one photo's faces, sharpness, looks and learned taste are ahead of another's."""
     looks = lambda x: F.when(F.coalesce(x["aesthetic_score"], F.lit(0.0)) == 0, F.lit(0.5)).otherwise(x["aesthetic_score"])
     blur = lambda x: F.coalesce(x["blur_score"], F.lit(0.0))
     sharper = (blur(a) - blur(b)) / F.greatest(blur(a), blur(b), F.lit(1.0))
-    return (b["closed"] - a["closed"]) * 1.8 + (a["smiling"] - b["smiling"]) * 1.2 + (b["away"] - a["away"]) * 0.8 + sharper * 1.5 + (looks(a) - looks(b)) * 2.0
+    taste = F.coalesce(a["taste"] - b["taste"], F.lit(0.0))
+    return (b["closed"] - a["closed"]) * 1.8 + (a["smiling"] - b["smiling"]) * 1.2 + (b["away"] - a["away"]) * 0.8 + sharper * 1.5 + (looks(a) - looks(b)) * 2.0 + taste * 1.5
 
 
-def elo_tiebreak(candidates: DataFrame, tie: float = TIE) -> DataFrame:
-    """``session_id, burst, photo_id, elo`` of the winner of each burst whose best two candidates are at most
-    ``tie`` apart: the best three play each other in rank order, and ratings move after each game. Three
-    games at most, so all of it is one expression over a row for each burst."""
-    w = Window.partitionBy("session_id", "burst").orderBy(F.col("score").desc(), "photo_id")
-    fields = ("photo_id", "score", "closed", "smiling", "away", "blur_score", "aesthetic_score")
-    top = candidates.withColumn("r", F.row_number().over(w)).where("r <= 3").groupBy("session_id", "burst").agg(F.array_sort(F.collect_list(F.struct("r", *fields))).alias("c"))
-    a, b, c = (F.try_element_at("c", F.lit(i)) for i in (1, 2, 3))
-    tied = top.where(F.size("c") > 1).where(half_even(a["score"] - b["score"], 4) <= tie)
+#: What the tie-break reads of a photo.
+PLAYER = ("photo_id", "score", "closed", "smiling", "away", "blur_score", "aesthetic_score", "taste")
+
+
+def with_taste(df: DataFrame) -> DataFrame:
+    """A null ``taste`` where there is no such column: no side is ahead by it."""
+    return df if "taste" in df.columns else df.withColumn("taste", F.lit(None).cast("double"))
+
+
+def play(d: DataFrame) -> DataFrame:
+    """``d`` with ``elo`` and ``elo_id``: the photos ``a``, ``b`` and, if there is one, ``c`` play each other in this
+    order, and ratings move after each game. Three games at most, so all of it is one expression a row."""
 
     def game(x: Column, y: Column, rx: Column, ry: Column) -> Column:
         """What the first gains and the second loses."""
@@ -35,15 +39,42 @@ def elo_tiebreak(candidates: DataFrame, tie: float = TIE) -> DataFrame:
         return F.lit(GAME) * (1 / (1 + F.exp(-adv)) - 1 / (1 + F.pow(F.lit(10.0), (ry - rx) / 400)))
 
     start = F.lit(START)
-    d = tied.withColumns({"a": a, "b": b, "c": c}).withColumn("g", game(F.col("a"), F.col("b"), start, start))
-    d = d.withColumns({"ea": start + F.col("g"), "eb": start - F.col("g"), "ec": start})
+    d = d.withColumn("_g", game(F.col("a"), F.col("b"), start, start))
+    d = d.withColumns({"_ea": start + F.col("_g"), "_eb": start - F.col("_g"), "_ec": start})
     third = F.col("c").isNotNull()
     for one, two in (("a", "c"), ("b", "c")):
-        g = F.when(third, game(F.col(one), F.col(two), F.col(f"e{one}"), F.col(f"e{two}"))).otherwise(F.lit(0.0))
-        d = d.withColumn("g", g).withColumns({f"e{one}": F.col(f"e{one}") + F.col("g"), f"e{two}": F.col(f"e{two}") - F.col("g")})
-    best = F.greatest("ea", "eb", F.when(third, F.col("ec")))
-    who = F.when(F.col("ea") == best, F.col("a.photo_id")).when(F.col("eb") == best, F.col("b.photo_id")).otherwise(F.col("c.photo_id"))
-    return d.select("session_id", "burst", who.alias("photo_id"), best.alias("elo"))
+        g = F.when(third, game(F.col(one), F.col(two), F.col(f"_e{one}"), F.col(f"_e{two}"))).otherwise(F.lit(0.0))
+        d = d.withColumn("_g", g).withColumns({f"_e{one}": F.col(f"_e{one}") + F.col("_g"), f"_e{two}": F.col(f"_e{two}") - F.col("_g")})
+    best = F.greatest("_ea", "_eb", F.when(third, F.col("_ec")))
+    who = F.when(F.col("_ea") == best, F.col("a.photo_id")).when(F.col("_eb") == best, F.col("b.photo_id")).otherwise(F.col("c.photo_id"))
+    return d.withColumns({"elo": best, "elo_id": who}).drop("_g", "_ea", "_eb", "_ec")
+
+
+def elo_tiebreak(candidates: DataFrame, tie: float = TIE) -> DataFrame:
+    """``session_id, burst, photo_id, elo`` of the winner of each burst whose best two candidates are at most
+    ``tie`` apart: the best three play each other in rank order. A column ``taste`` (a learned affinity), where
+    there is one, counts in the games."""
+    w = Window.partitionBy("session_id", "burst").orderBy(F.col("score").desc(), "photo_id")
+    top = with_taste(candidates).withColumn("r", F.row_number().over(w)).where("r <= 3").groupBy("session_id", "burst").agg(F.array_sort(F.collect_list(F.struct("r", *PLAYER))).alias("_top"))
+    a, b, c = (F.try_element_at("_top", F.lit(i)) for i in (1, 2, 3))
+    tied = top.where(F.size("_top") > 1).where(half_even(a["score"] - b["score"], 4) <= tie)
+    return play(tied.withColumns({"a": a, "b": b, "c": c})).select("session_id", "burst", F.col("elo_id").alias("photo_id"), "elo")
+
+
+def mark_winners(judged: DataFrame, tie: float = TIE, taste: bool = False) -> DataFrame:
+    """:func:`burst_winners` as columns: each photo of ``judged`` with its burst's winner ``rep``, ``margin`` and
+    ``decided_by``. All of it is windows over (session, burst), so no row moves that lies by session already."""
+    c = F.col
+    burst = Window.partitionBy("session_id", "burst")
+    order = burst.orderBy(c("alive").desc(), c("score").desc(), "photo_id")
+    me = F.when(c("alive"), F.struct(*PLAYER))
+    d = with_taste(judged).withColumns({"a": me, "b": F.lead(me, 1).over(order), "c": F.lead(me, 2).over(order), "_r": F.row_number().over(order)})
+    d = play(d)
+    tied = (c("_r") == 1) & c("b").isNotNull() & (half_even(c("a.score") - c("b.score"), 4) <= tie)
+    decider = F.when(F.count("*").over(burst) == 1, F.lit(None).cast("string")).when(tied, "elo").when(c("b").isNull(), "gate").otherwise("taste" if taste else "score")
+    won = F.struct(F.when(tied, c("elo_id")).otherwise(c("photo_id")).alias("rep"), F.when(c("b").isNull(), F.lit(1.0)).otherwise(half_even(c("a.score") - c("b.score"), 4)).alias("margin"), decider.alias("decided_by"))
+    d = d.withColumn("_won", F.when(c("_r") == 1, won)).withColumn("_won", F.max("_won").over(burst))
+    return d.select(*judged.columns, "_won.rep", "_won.margin", "_won.decided_by")
 
 
 def burst_winners(judged: DataFrame, tie: float = TIE, taste: bool = False) -> DataFrame:
@@ -51,7 +82,7 @@ def burst_winners(judged: DataFrame, tie: float = TIE, taste: bool = False) -> D
     best by score, or by the tie-break where two are as good; "gate" where all others were dropped. With
     ``taste`` the score is a learned one, and what it decides says so."""
     keys = ["session_id", "burst"]
-    judged = judged.select(*keys, "photo_id", "alive", "score", "closed", "smiling", "away", "blur_score", "aesthetic_score")
+    judged = with_taste(judged).select(*keys, "alive", *PLAYER)
     size = judged.groupBy(*keys).agg(F.count("*").alias("n"))
     alive = judged.where("alive")
     w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "photo_id")

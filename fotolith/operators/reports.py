@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles, mean, with_quantiles
+
 _SIX = lambda c: F.round(c, 6)
 
 
@@ -88,9 +90,11 @@ def crop_agreement(df: DataFrame, whole: float = 0.97, least: float = 0.02) -> D
     d = d.withColumns({"area": (c("crop_right") - c("crop_left")) * (c("crop_bottom") - c("crop_top")), "iou_p": iou(prop, real), "iou_f": iou(full, real)})
     d = d.withColumns({"user": c("area") < whole, "system": 1 - (c("p_right") - c("p_left")) * (c("p_bottom") - c("p_top")) > least})
     cropped = lambda x: F.when(c("user"), x)
-    share = lambda x: _SIX(F.avg(x.cast("double")))
-    return d.agg(F.count("*").alias("n"), share(c("user")).alias("user_crops"), share(c("system")).alias("system_crops"), share(c("user") == c("system")).alias("agreement"), _SIX(F.median(cropped(c("area")))).alias("median_area"),
-                 _SIX(F.percentile(cropped(c("area")), 0.1)).alias("p10_area"), share(c("iou_p")).alias("iou_proposed"), share(c("iou_f")).alias("iou_full"), share(cropped(c("iou_p"))).alias("iou_proposed_cropped"), share(cropped(c("iou_f"))).alias("iou_full_cropped"))
+    share = lambda x: mean(x.cast("double"))
+    g = d.agg(F.count("*").alias("n"), share(c("user")).alias("user_crops"), share(c("system")).alias("system_crops"), share(c("user") == c("system")).alias("agreement"), share(c("iou_p")).alias("iou_proposed"), share(c("iou_f")).alias("iou_full"),
+              share(cropped(c("iou_p"))).alias("iou_proposed_cropped"), share(cropped(c("iou_f"))).alias("iou_full_cropped"))
+    area = cropped(c("area"))
+    return with_quantiles(g, exact_quantiles(d, [], {"median_area": (area, 0.5), "p10_area": (area, 0.1)}), []).withColumns({x: _SIX(x) for x in ("median_area", "p10_area")})
 
 
 def straighten_coverage(df: DataFrame, turned: float = 0.05, wrong: float = 1.0) -> DataFrame:
@@ -98,9 +102,9 @@ def straighten_coverage(df: DataFrame, turned: float = 0.05, wrong: float = 1.0)
     error with either sign, and the share of what it says of the others that is over ``wrong`` degrees."""
     c = F.col
     err = {"direct": F.abs(c("detected") - c("crop_angle")), "flipped": F.abs(-c("detected") - c("crop_angle"))}
-    g = df.withColumn("turned", F.abs("crop_angle") > turned).groupBy("turned").agg(
-        F.count("*").alias("n"), _SIX(F.avg(c("detected").isNotNull().cast("double"))).alias("coverage"), *[_SIX(F.avg(e)).alias(f"mae_{k}") for k, e in err.items()], *[_SIX(F.median(e)).alias(f"median_{k}") for k, e in err.items()],
-        _SIX(F.avg((F.abs("detected") > wrong).cast("double"))).alias("over"))
+    d = df.withColumn("turned", F.abs("crop_angle") > turned)
+    g = d.groupBy("turned").agg(F.count("*").alias("n"), mean(c("detected").isNotNull().cast("double")).alias("coverage"), *[mean(e).alias(f"mae_{k}") for k, e in err.items()], mean((F.abs("detected") > wrong).cast("double")).alias("over"))
+    g = with_quantiles(g, exact_quantiles(d, ["turned"], {f"median_{k}": (e, 0.5) for k, e in err.items()}), ["turned"])
     return g.withColumn("false_corrections", F.when(~c("turned"), c("over"))).drop("over")
 
 
@@ -108,10 +112,10 @@ def exposure_rules(df: DataFrame, bias: float = 0.3, dead: float = 0.05) -> Data
     """Error of three rules (nothing, a fixed bias, the scene's median) against real corrections, and how often
     each says rightly whether there is one to make."""
     e = F.col("exposure")
-    d = df.join(df.groupBy("scene").agg(F.median("exposure").alias("learned")), "scene")
+    d = df.join(exact_quantiles(df, ["scene"], {"learned": (e, 0.5)}), "scene")
     rules = {"none": F.lit(0.0), "bias": F.lit(bias), "learned": F.col("learned")}
     said = lambda r: ((F.abs(r) > dead) == (F.abs(e) > dead)).cast("double")
-    return d.agg(F.count("*").alias("n"), *[_SIX(F.avg(F.abs(e - r))).alias(f"mae_{k}") for k, r in rules.items()], *[_SIX(F.avg(said(r))).alias(f"right_{k}") for k, r in rules.items()])
+    return d.agg(F.count("*").alias("n"), *[mean(F.abs(e - r)).alias(f"mae_{k}") for k, r in rules.items()], *[mean(said(r)).alias(f"right_{k}") for k, r in rules.items()])
 
 
 def telemetry_summary(events: DataFrame) -> DataFrame:

@@ -126,20 +126,27 @@ def leader_clusters(photos: DataFrame, threshold: int = 10, key: str = "session_
     return photos.select("session_id", "photo_id", "t_us", "phash").groupBy(key).applyInPandas(fold, f"session_id {kind_of(photos)}, photo_id long, cluster long")
 
 
+def uncovered(seen: pd.DataFrame, min_seen: int = 3) -> list[int]:
+    """The photos of one session (``photo_id, identity_id, score, kept``, a row a person) that cover people whom no
+    kept one shows; see :func:`coverage_promote`."""
+    people = seen.groupby("identity_id")["photo_id"].agg(["count", "min"]).reset_index()
+    covered = set(seen.loc[seen["kept"], "identity_id"])
+    out = []
+    for who in people[people["count"] >= min_seen].sort_values(["min", "identity_id"])["identity_id"]:
+        if who not in covered:
+            own = seen[seen["identity_id"] == who].sort_values(["score", "photo_id"], ascending=[False, True])
+            out.append(int(own["photo_id"].iloc[0]))
+            covered |= set(seen.loc[seen["photo_id"] == out[-1], "identity_id"])
+    return out
+
+
 def coverage_promote(identities: DataFrame, selected: DataFrame, scores: DataFrame, min_seen: int = 3) -> DataFrame:
-    """People seen in ``min_seen`` photos of whom none is selected, in order of first sight: their best
+    """People seen in ``min_seen`` photos of whom none is selected, in order of first sight (then id): their best
     photo is promoted and covers whom else it shows."""
     d = identities.select("session_id", "photo_id", "identity_id").distinct().join(scores.select("photo_id", "score"), "photo_id").join(selected.select("photo_id").distinct().selectExpr("photo_id", "true AS chosen"), "photo_id", "left")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = pdf.groupby("identity_id")["photo_id"].agg(["count", "min"])
-        covered = set(pdf.loc[pdf["chosen"].notna(), "identity_id"])
-        out = []
-        for who in seen[seen["count"] >= min_seen].sort_values(["min"], kind="stable").index:
-            if who not in covered:
-                own = pdf[pdf["identity_id"] == who].sort_values(["score", "photo_id"], ascending=[False, True])
-                out.append(own["photo_id"].iloc[0])
-                covered |= set(pdf.loc[pdf["photo_id"] == out[-1], "identity_id"])
+        out = uncovered(pdf.assign(kept=pdf["chosen"].notna()), min_seen)
         return pd.DataFrame({"session_id": [pdf["session_id"].iloc[0]] * len(out), "photo_id": np.array(out, np.int64)}).astype({"session_id": object})
 
     return d.groupBy("session_id").applyInPandas(fold, f"session_id {kind_of(d)}, photo_id long")

@@ -231,7 +231,7 @@ def gate_figures(faces: DataFrame, vip_ids: list[int] | None = None) -> DataFram
         figures += [F.min(of(who, F.col("ear"))).alias(f"{name}_ear"), F.max(of(who, F.col("blink"))).alias(f"{name}_blink"), F.max(of(who, F.col("gaze_out"))).alias(f"{name}_gaze"), F.max(of(who, F.abs("yaw"))).alias(f"{name}_yaw")]
     sharp = F.coalesce(F.min(F.when(F.col("weight") >= VIP_SHARE, F.col("sharpness"))), F.min("sharpness"))
     smile = F.max(of("_lead", F.col("smile_score")))
-    return f.groupBy("photo_id").agg(*figures, smile.alias("vip_smile"), sharp.alias("face_sharp"))
+    return f.groupBy("photo_id").agg(*figures, smile.alias("vip_smile"), sharp.alias("face_sharp"), F.array_sort(F.collect_set(of("valid", F.col("identity_id")))).alias("people"))
 
 
 def technical_gates(photos: DataFrame, faces: DataFrame, vip_ids: list[int] | None = None, relaxed: bool = False) -> DataFrame:
@@ -243,8 +243,14 @@ def technical_gates(photos: DataFrame, faces: DataFrame, vip_ids: list[int] | No
     the leading faces, of all, a leading face that smiles (not where ``relaxed``), soft faces (against
     the median of those still in).
     """
+    return apply_gates(photos.join(gate_figures(faces, vip_ids), "photo_id", "left"), relaxed).select("photo_id", "session_id", "burst", "alive", "reason")
+
+
+def apply_gates(photos: DataFrame, relaxed: bool = False) -> DataFrame:
+    """Photos that have :func:`gate_figures` with ``n`` (photos of the burst), ``alive`` and ``reason``; see
+    :func:`technical_gates`."""
     w = Window.partitionBy("session_id", "burst")
-    d = photos.join(gate_figures(faces, vip_ids), "photo_id", "left").withColumn("n", F.count("*").over(w)).withColumns({"alive": F.lit(True), "reason": F.lit(None).cast("string")})
+    d = photos.withColumn("n", F.count("*").over(w)).withColumns({"alive": F.lit(True), "reason": F.lit(None).cast("string")})
     c = F.col
     mid = F.median("lum").over(w)
     soft = F.median(F.when(c("alive"), c("face_sharp"))).over(w)
@@ -259,4 +265,4 @@ def technical_gates(photos: DataFrame, faces: DataFrame, vip_ids: list[int] | No
         bad = F.count_if(c("alive") & ~c("ok")).over(w)
         d = d.withColumn("drop", (c("n") > 1) & (good > 0) & (bad > 0) & c("alive") & ~c("ok"))
         d = d.withColumns({"reason": F.when(c("drop"), F.lit(name)).otherwise(c("reason")), "alive": c("alive") & ~c("drop")})
-    return d.select("photo_id", "session_id", "burst", "alive", "reason")
+    return d.drop("ok", "drop")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .fixtures import duck, view
 from .operators import aggs, joins, learn, rules, sessions, story, windows
-from .plans.decide import decide
 from .sources import tables
 from .streaming import streams
 
@@ -260,11 +259,31 @@ def margin_buckets(spark, d):
     return aggs.margin_buckets(view(spark, d, "v_photos").select((F.col("k") / F.lit(300.0)).alias("margin"), (F.col("photo_id") % 3 == 0).alias("hit")))
 
 
-@_query("""SELECT p_brand AS camera, count(*) AS shots, count(DISTINCT p_type) AS lenses, round(avg(CAST(p_size AS DOUBLE)), 6) AS focal, list_sort(list(CAST(l_quantity AS DOUBLE)))[CAST(floor(count(*) * #0.25#) AS INT) + 1] AS iso_q1, list_sort(list(CAST(l_quantity AS DOUBLE)))[CAST(floor(count(*) * #0.5#) AS INT) + 1] AS iso_q2, list_sort(list(CAST(l_quantity AS DOUBLE)))[CAST(floor(count(*) * #0.75#) AS INT) + 1] AS iso_q3 FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand""")
-def gear_stats(spark, d):
+@_query("""SELECT #0.0# + c AS below, count(*) FILTER (CAST(k AS DOUBLE) / #300.0# < c) AS n, CAST(count(*) FILTER (CAST(k AS DOUBLE) / #300.0# < c) AS DOUBLE) / count(*) AS share,
+CAST(count(*) FILTER (CAST(k AS DOUBLE) / #300.0# < c AND photo_id % 3 = 0) AS DOUBLE) / count(*) FILTER (CAST(k AS DOUBLE) / #300.0# < c) AS accuracy FROM v_photos, (SELECT unnest([#0.02#, #0.05#, #0.1#, #0.15#, #0.2#]) AS c) GROUP BY c""")
+def margin_cumulative(spark, d):
+    return aggs.margin_cumulative(view(spark, d, "v_photos").select((F.col("k") / F.lit(300.0)).alias("margin"), (F.col("photo_id") % 3 == 0).alias("hit")))
+
+
+def _gear(spark, d):
     view(spark, d, "v_photos")
     g = spark.table("lineitem").join(spark.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-    return aggs.gear_stats(g.select(F.col("p_brand").alias("camera"), F.col("p_type").alias("lens"), F.col("p_size").cast("double").alias("focal"), F.col("l_quantity").cast("double").alias("iso")))
+    return g.select(F.col("p_brand").alias("camera"), F.col("p_type").alias("lens"), (F.col("p_size") - 1).cast("double").alias("focal"), F.col("l_quantity").cast("double").alias("iso"), (F.col("l_linenumber") - 1).cast("double").alias("fstop"))
+
+
+GEAR = "WITH g AS (SELECT p_brand AS camera, p_type AS lens, nullif(CAST(p_size - 1 AS DOUBLE), 0) AS focal, nullif(CAST(l_quantity AS DOUBLE), 0) AS iso, nullif(CAST(l_linenumber - 1 AS DOUBLE), 0) AS fstop FROM lineitem JOIN part ON p_partkey = l_partkey) "
+_AT = "list_sort(list({c}) FILTER ({c} IS NOT NULL))[CAST(floor(count({c}) * #{q}#) AS INT) + 1] AS {name}"
+
+
+@_query(GEAR + "SELECT camera, count(*) AS shots, count(DISTINCT lens) AS lenses, MEAN(focal) AS focal, MEAN(fstop) AS fstop, MEAN(iso) AS iso, " + ", ".join(
+    _AT.format(c=c, q=q, name=n) for n, c, q in (("focal_low", "focal", 0.25), ("focal_high", "focal", 0.75), ("iso_q1", "iso", 0.25), ("iso_q2", "iso", 0.5), ("iso_q3", "iso", 0.75))) + " FROM g GROUP BY camera")
+def gear_stats(spark, d):
+    return aggs.gear_stats(_gear(spark, d))
+
+
+@_query(GEAR + "SELECT * FROM (SELECT 'camera' AS figure, camera AS value, count(*) AS n FROM g GROUP BY camera ORDER BY n DESC, value LIMIT 4) UNION ALL SELECT * FROM (SELECT 'lens', lens, count(*) AS n FROM g GROUP BY lens ORDER BY n DESC, lens LIMIT 4)")
+def gear_top(spark, d):
+    return aggs.gear_top(_gear(spark, d))
 
 
 @_query("""WITH f AS (SELECT photo_id, min(ear) AS ear, max(blink) AS blink, max(gaze_out) AS gaze_out, max(abs(yaw)) AS yaw, avg(smile_score) AS smile, bool_or(smile_score >= 0.5) AS a FROM v_faces WHERE valid GROUP BY photo_id)
@@ -315,17 +334,17 @@ def session_estimate_count(spark, d):
 
 
 @_query("""WITH x AS (SELECT scene, (crop_right - crop_left) * (crop_bottom - crop_top) AS re, greatest(#0.0#, least(crop_right, #0.9#) - greatest(crop_left, #0.1#)) * greatest(#0.0#, least(crop_bottom, #0.9#) - greatest(crop_top, #0.1#)) AS i FROM v_history)
-SELECT scene, count(*) AS n, round(avg(i / (re + #0.64# - i)), 6) AS proposed, round(avg(re), 6) AS full_frame, round(median(i / (re + #0.64# - i)), 6) AS median_proposed FROM x GROUP BY scene""")
+SELECT scene, count(*) AS n, MEAN(i / (re + #0.64# - i)) AS proposed, MEAN(re) AS full_frame, median(i / (re + #0.64# - i)) AS median_proposed FROM x GROUP BY scene""")
 def crop_iou_report(spark, d):
     return aggs.crop_iou_report(view(spark, d, "v_history"))
 
 
-@_query("SELECT scene, count(*) AS n, round(avg(abs(exposure)), 6) AS mae_none, round(avg(abs(exposure - #0.3#)), 6) AS mae_bias FROM v_history GROUP BY scene")
+@_query("SELECT scene, count(*) AS n, MEAN(abs(exposure)) AS mae_none, MEAN(abs(exposure - #0.3#)) AS mae_bias FROM v_history GROUP BY scene")
 def exposure_rule_report(spark, d):
     return aggs.exposure_rule_report(view(spark, d, "v_history"))
 
 
-@_query("WITH h AS (SELECT crop_angle AS a, CAST(photo_id % 7 - 3 AS DOUBLE) AS p FROM v_history) SELECT count(*) AS n, round(avg(abs(a)), 6) AS mae_none, round(avg(abs(a - p)), 6) AS mae_same, round(avg(abs(a + p)), 6) AS mae_flipped, round(median(abs(a - p)), 6) AS median_same, round(avg(CASE WHEN abs(a) < 0.1 AND abs(p) > 1 THEN #1.0# ELSE #0.0# END), 6) AS false_corrections FROM h")
+@_query("WITH h AS (SELECT crop_angle AS a, CAST(photo_id % 7 - 3 AS DOUBLE) AS p FROM v_history) SELECT count(*) AS n, MEAN(abs(a)) AS mae_none, MEAN(abs(a - p)) AS mae_same, MEAN(abs(a + p)) AS mae_flipped, median(abs(a - p)) AS median_same, MEAN(CASE WHEN abs(a) < 0.1 AND abs(p) > 1 THEN #1.0# ELSE #0.0# END) AS false_corrections FROM h")
 def straighten_report(spark, d):
     return aggs.straighten_report(view(spark, d, "v_history").withColumn("proposed", (F.col("photo_id") % 7 - 3).cast("double")))
 
@@ -488,18 +507,6 @@ def missing(spark, d):
     return x.where("truth = 'selected'").select("photo_id").subtract(x.where("label = 'selected'").select("photo_id"))
 
 
-@_query()
-def decision_pipeline(spark, d):
-    p = view(spark, d, "v_judged").select("photo_id", "lum").join(view(spark, d, "v_photos"), "photo_id").withColumn("clip", F.col("k") / F.lit(100.0))
-    view(spark, d, "v_judged")
-    return decide(p, spark.table("v_gate_faces"), spark.table("v_expressions"))
-
-
-@_query()
-def light_sessions(spark, d):
-    return sessions.light_sessions(view(spark, d, "v_light").join(view(spark, d, "v_photos").select("photo_id", "t_us"), "photo_id"))
-
-
 @_query()
 def resolve_duplicates(spark, d):
     p = view(spark, d, "v_hashed")
@@ -511,11 +518,6 @@ def leader_clusters(spark, d):
     return sessions.leader_clusters(view(spark, d, "v_hashed"))
 
 
-@_query()
-def coverage_promote(spark, d):
-    return sessions.coverage_promote(view(spark, d, "v_faces"), view(spark, d, "v_decisions").where("label = 'selected'"), _scored(spark, d))
-
-
 @_query()
 def assign_identities(spark, d):
     return sessions.assign_identities(face_vectors(spark, d))
@@ -524,7 +526,7 @@ def assign_identities(spark, d):
 @_query()
 def discover_scenes(spark, d):
     view(spark, d, "v_photos")
-    return learn.discover_scenes(spark.table("embeddings"))
+    return learn.discover_scenes(spark.table("embeddings"))[0]
 
 
 @_query()

@@ -164,22 +164,22 @@ def run_report(spark, d):
 
 @_query("""WITH h AS (SELECT crop_left AS l, crop_top AS t, crop_right AS r, crop_bottom AS b, CASE WHEN k % 3 = 0 THEN #0.0# ELSE CAST(k % 4 AS DOUBLE) / #25.0# END AS p FROM v_history),
 x AS (SELECT *, (r - l) * (b - t) AS area, greatest(#0.0#, least(r, 1 - p) - greatest(l, p)) * greatest(#0.0#, least(b, 1 - p) - greatest(t, p)) AS i, (1 - 2 * p) * (1 - 2 * p) AS pa FROM h), y AS (SELECT *, area < #0.97# AS u, 1 - pa > #0.02# AS s, i / (pa + area - i) AS ip FROM x)
-SELECT count(*) AS n, round(avg(u::INT), 6) AS user_crops, round(avg(s::INT), 6) AS system_crops, round(avg((u = s)::INT), 6) AS agreement, round(median(area) FILTER (u), 6) AS median_area, round(quantile_cont(area, 0.1) FILTER (u), 6) AS p10_area, round(avg(ip), 6) AS iou_proposed, round(avg(area), 6) AS iou_full,
- round(avg(ip) FILTER (u), 6) AS iou_proposed_cropped, round(avg(area) FILTER (u), 6) AS iou_full_cropped FROM y""")
+SELECT count(*) AS n, MEAN(u::INT) AS user_crops, MEAN(s::INT) AS system_crops, MEAN((u = s)::INT) AS agreement, round(median(area) FILTER (u), 6) AS median_area, round(quantile_cont(area, 0.1) FILTER (u), 6) AS p10_area, MEAN(ip) AS iou_proposed, MEAN(area) AS iou_full,
+ MEAN(CASE WHEN u THEN ip END) AS iou_proposed_cropped, MEAN(CASE WHEN u THEN area END) AS iou_full_cropped FROM y""")
 def crop_agreement(spark, d):
     p = F.when(F.col("k") % 3 != 0, (F.col("k") % 4).cast("double") / 25)
     return reports.crop_agreement(view(spark, d, "v_history").withColumns({"p_left": p, "p_top": p, "p_right": 1 - p, "p_bottom": 1 - p}))
 
 
 @_query("""WITH h AS (SELECT crop_angle AS a, CASE WHEN photo_id % 5 <> 0 THEN CAST(photo_id % 7 - 3 AS DOUBLE) / 2 END AS d FROM v_history)
-SELECT abs(a) > #0.05# AS turned, count(*) AS n, round(avg((d IS NOT NULL)::INT), 6) AS coverage, round(avg(abs(d - a)), 6) AS mae_direct, round(avg(abs(-d - a)), 6) AS mae_flipped, round(median(abs(d - a)), 6) AS median_direct, round(median(abs(-d - a)), 6) AS median_flipped,
- CASE WHEN NOT (abs(a) > #0.05#) THEN round(avg((abs(d) > 1)::INT), 6) END AS false_corrections FROM h GROUP BY 1""")
+SELECT abs(a) > #0.05# AS turned, count(*) AS n, MEAN((d IS NOT NULL)::INT) AS coverage, MEAN(abs(d - a)) AS mae_direct, MEAN(abs(-d - a)) AS mae_flipped, median(abs(d - a)) AS median_direct, median(abs(-d - a)) AS median_flipped,
+ CASE WHEN NOT (abs(a) > #0.05#) THEN MEAN((abs(d) > 1)::INT) END AS false_corrections FROM h GROUP BY 1""")
 def straighten_coverage(spark, d):
     return reports.straighten_coverage(view(spark, d, "v_history").withColumn("detected", F.when(F.col("photo_id") % 5 != 0, (F.col("photo_id") % 7 - 3).cast("double") / 2)))
 
 
 @_query("""WITH m AS (SELECT scene, median(exposure) AS m FROM v_history GROUP BY scene), x AS (SELECT exposure AS e, m, abs(exposure) > #0.05# AS real FROM v_history JOIN m USING (scene))
-SELECT count(*) AS n, round(avg(abs(e)), 6) AS mae_none, round(avg(abs(e - #0.3#)), 6) AS mae_bias, round(avg(abs(e - m)), 6) AS mae_learned, round(avg((NOT real)::INT), 6) AS right_none, round(avg(real::INT), 6) AS right_bias, round(avg((real = (abs(m) > #0.05#))::INT), 6) AS right_learned FROM x""")
+SELECT count(*) AS n, MEAN(abs(e)) AS mae_none, MEAN(abs(e - #0.3#)) AS mae_bias, MEAN(abs(e - m)) AS mae_learned, MEAN((NOT real)::INT) AS right_none, MEAN(real::INT) AS right_bias, MEAN((real = (abs(m) > #0.05#))::INT) AS right_learned FROM x""")
 def exposure_rules(spark, d):
     return reports.exposure_rules(view(spark, d, "v_history"))
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .fixtures import view
 from .operators import aggs, develop, joins, ranking, rules, sessions, story, windows
-from .registry import HISTORY, _history, _query, _r, _scored
+from .plans.decide import TARGETS, decide
+from .registry import CHAPTERS, HISTORY, _history, _query, _r, _scored
 from .sources import tables
 
 _STAGES = [
@@ -36,27 +37,97 @@ h2 AS (SELECT *, CASE WHEN shot AND open AND (max_yaw < 15 OR gaze >= #0.75#) TH
 heroes AS (SELECT * REPLACE (CASE WHEN shot AND open AND vip > 0 AND smiling > 0 THEN least(#1.0#, s3 + #0.15#) ELSE s3 END AS score) FROM h3) """
 
 
-def _adv(a: str, b: str) -> str:
+def _adv(a: str, b: str, taste: bool) -> str:
     look = lambda x: f"CASE WHEN coalesce({x}.aesthetic_score, 0) = 0 THEN #0.5# ELSE {x}.aesthetic_score END"
     return (f"({b}.closed - {a}.closed) * #1.8# + ({a}.smiling - {b}.smiling) * #1.2# + ({b}.away - {a}.away) * #0.8# + ({a}.blur_score - {b}.blur_score) / greatest({a}.blur_score, {b}.blur_score, #1.0#) * #1.5#"
-            f" + ({look(a)} - {look(b)}) * #2.0#")
+            f" + ({look(a)} - {look(b)}) * #2.0#" + (f" + coalesce({a}.taste - {b}.taste, 0) * #1.5#" if taste else ""))
 
 
-def _game(a: str, b: str, ra: str, rb: str) -> str:
-    return f"#32.0# * (1 / (1 + exp(-greatest(-#20.0#, least(#20.0#, {_adv(a, b)})))) - 1 / (1 + power(#10.0#, ({rb} - {ra}) / 400)))"
+def _game(a: str, b: str, ra: str, rb: str, taste: bool) -> str:
+    return f"#32.0# * (1 / (1 + exp(-greatest(-#20.0#, least(#20.0#, {_adv(a, b, taste)})))) - 1 / (1 + power(#10.0#, ({rb} - {ra}) / 400)))"
 
 
-ELO = f""", e0 AS (SELECT *, row_number() OVER (PARTITION BY session_id, burst ORDER BY score DESC, photo_id) AS r FROM heroes WHERE alive),
-e1 AS (SELECT a.session_id, a.burst, a.photo_id AS pa, b.photo_id AS pb, c.photo_id AS pc, {_game('a', 'b', '#1500.0#', '#1500.0#')} AS g1, a, b, c FROM e0 a JOIN e0 b ON a.session_id = b.session_id AND a.burst = b.burst AND a.r = 1 AND b.r = 2 AND round_even(a.score - b.score, 4) <= #0.025#
+#: A photo's learned affinity; a ninth have none.
+TASTE = "CASE WHEN photo_id % 9 <> 0 THEN CAST((photo_id * 17) % 100 AS DOUBLE) / #40.0# END"
+
+
+def _elo(taste: bool = False) -> str:
+    g = lambda *x: _game(*x, taste)
+    return f""", e0 AS (SELECT *, {TASTE} AS taste, row_number() OVER (PARTITION BY session_id, burst ORDER BY score DESC, photo_id) AS r FROM heroes WHERE alive),
+e1 AS (SELECT a.session_id, a.burst, a.photo_id AS pa, b.photo_id AS pb, c.photo_id AS pc, {g('a', 'b', '#1500.0#', '#1500.0#')} AS g1, a, b, c FROM e0 a JOIN e0 b ON a.session_id = b.session_id AND a.burst = b.burst AND a.r = 1 AND b.r = 2 AND round_even(a.score - b.score, 4) <= #0.025#
  LEFT JOIN e0 c ON a.session_id = c.session_id AND a.burst = c.burst AND c.r = 3),
-e2 AS (SELECT *, CASE WHEN pc IS NULL THEN 0 ELSE {_game('a', 'c', '(#1500.0# + g1)', '#1500.0#')} END AS g2 FROM e1), e3 AS (SELECT *, CASE WHEN pc IS NULL THEN 0 ELSE {_game('b', 'c', '(#1500.0# - g1)', '(#1500.0# - g2)')} END AS g3 FROM e2),
+e2 AS (SELECT *, CASE WHEN pc IS NULL THEN 0 ELSE {g('a', 'c', '(#1500.0# + g1)', '#1500.0#')} END AS g2 FROM e1), e3 AS (SELECT *, CASE WHEN pc IS NULL THEN 0 ELSE {g('b', 'c', '(#1500.0# - g1)', '(#1500.0# - g2)')} END AS g3 FROM e2),
 e4 AS (SELECT session_id, burst, pa, pb, pc, #1500.0# + g1 + g2 AS ra, #1500.0# - g1 + g3 AS rb, CASE WHEN pc IS NOT NULL THEN #1500.0# - g2 - g3 END AS rc FROM e3),
 elo AS (SELECT session_id, burst, CASE WHEN ra >= rb AND ra >= coalesce(rc, ra) THEN pa WHEN rb >= coalesce(rc, rb) THEN pb ELSE pc END AS photo_id, greatest(ra, rb, coalesce(rc, ra)) AS elo FROM e4) """
+
+
+ELO = _elo()
 WINNERS = ELO + """, w0 AS (SELECT *, lead(score) OVER (PARTITION BY session_id, burst ORDER BY score DESC, photo_id) AS nxt, row_number() OVER (PARTITION BY session_id, burst ORDER BY score DESC, photo_id) AS r FROM heroes WHERE alive),
 winners AS (SELECT w0.session_id, w0.burst, coalesce(elo.photo_id, w0.photo_id) AS photo_id, CASE WHEN nxt IS NULL THEN #1.0# ELSE round_even(score - nxt, 4) END AS margin,
  CASE WHEN n = 1 THEN NULL WHEN elo.photo_id IS NOT NULL THEN 'elo' WHEN nxt IS NULL THEN 'gate' ELSE 'score' END AS decided_by FROM w0 LEFT JOIN elo ON elo.session_id = w0.session_id AND elo.burst = w0.burst WHERE w0.r = 1) """
 
 
+def _covered(people: str, kept: str) -> str:
+    """The photos ``cover`` that cover people of whom no photo of ``kept`` (photo_id) shows any: of ``people`` (photo_id,
+    session_id, identity_id, score) those seen three times, one after the other in order of first sight."""
+    return f"""pp AS ({people}), ps AS (SELECT session_id, identity_id, min(photo_id) AS seen, arg_max(photo_id, (score, -photo_id)) AS best, max((photo_id IN ({kept}))::INT) AS kept FROM pp GROUP BY session_id, identity_id HAVING count(*) >= 3),
+po AS (SELECT ps.session_id, ps.identity_id, best, kept, row_number() OVER (PARTITION BY ps.session_id ORDER BY seen, ps.identity_id) AS i, (SELECT list(b.identity_id) FROM pp b WHERE b.photo_id = ps.best) AS others FROM ps),
+pr AS (SELECT session_id, 0::BIGINT AS i, []::BIGINT[] AS covered, NULL::BIGINT AS photo_id FROM po GROUP BY session_id
+ UNION ALL SELECT pr.session_id, po.i, CASE WHEN kept = 1 OR list_contains(covered, identity_id) THEN covered ELSE list_concat(covered, others) END, CASE WHEN kept = 1 OR list_contains(covered, identity_id) THEN NULL ELSE best END FROM pr JOIN po ON po.session_id = pr.session_id AND po.i = pr.i + 1),
+cover AS (SELECT DISTINCT session_id, photo_id FROM pr WHERE photo_id IS NOT NULL)"""
+
+
+def _decision(level: str, coverage: bool) -> str:
+    """The pipeline from the scores with their bonuses on; ``can`` are photos that may be chosen."""
+    enough, target = windows.ALTERNATE_LEVELS[level], TARGETS[level]
+    ev = "log2(greatest(lum, #0.0001#) / #0.18#)"
+    side = f"(NOT side AND norm >= #{enough}#)" + (f" OR (side AND norm >= #{enough}# * #1.15#)" if level == "more" else "")
+    return "WITH RECURSIVE " + (HEROES + WINNERS)[5:] + ", " + CHAPTERS[5:] + f""", q0 AS (SELECT h.*, c.chapter, w.photo_id AS rep, w.margin, w.decided_by, h.k % 50 = 49 AS error,
+ (h.k % 6 = 0 AND h.blur_score < #28.0# AND h.blur_score * 2 < 80) OR ({ev} > 2 AND h.k / #100.0# > #0.85#) OR {ev} < -#4.5# OR coalesce(reason = 'flash_misfire', false) AS trash
+ FROM heroes h JOIN winners w ON w.session_id = h.session_id AND w.burst = h.burst JOIN c ON c.photo_id = h.photo_id),
+q1 AS (SELECT *, NOT error AND NOT trash AS can, width >= height AS wide FROM q0),
+q2 AS (SELECT *, median(score) FILTER (can) OVER (PARTITION BY session_id, chapter) AS cm, median(score) FILTER (can) OVER (PARTITION BY session_id) AS gm FROM q1),
+q3 AS (SELECT *, CASE WHEN gm IS NULL OR cm IS NULL OR gm <= 0 OR cm <= #0.05# THEN score ELSE score * greatest(#0.7#, least(#1.4#, gm / cm)) END AS norm FROM q2),
+q4 AS (SELECT *, max((can AND photo_id = rep)::INT) OVER (PARTITION BY session_id, burst) AS rc, row_number() OVER (PARTITION BY session_id, burst ORDER BY can DESC, norm DESC, photo_id) AS rn FROM q3),
+q5 AS (SELECT *, can AND CASE WHEN rc = 1 THEN photo_id = rep ELSE rn = 1 END AS prim FROM q4), q6 AS (SELECT *, max(CASE WHEN prim THEN wide::INT END) OVER (PARTITION BY session_id, burst) AS pw FROM q5),
+q7 AS (SELECT *, CASE WHEN can AND NOT prim THEN wide::INT = pw END AS side FROM q6), q8 AS (SELECT *, row_number() OVER (PARTITION BY session_id, burst, side ORDER BY norm DESC, photo_id) AS ro FROM q7),
+q9 AS (SELECT *, prim OR coalesce(ro = 1 AND ({side}), false) AS chosen FROM q8),
+r0 AS (SELECT *, sum(chosen::INT) OVER (PARTITION BY session_id) AS cn, sum(chosen::INT) OVER (PARTITION BY session_id, burst) AS mates, round_even(count(*) OVER (PARTITION BY session_id) * #{target}#, 0) AS goal,
+ row_number() OVER (PARTITION BY session_id ORDER BY chosen DESC, score DESC, photo_id) AS hr, row_number() OVER (PARTITION BY session_id, burst ORDER BY chosen DESC, score DESC, photo_id) AS br FROM q9),
+r1 AS (SELECT *, chosen AND hr <= greatest(1, round_even(cn * #0.1#, 0)) AS high FROM r0), r2 AS (SELECT *, cn > round_even(goal * #1.05#, 0) AND chosen AND mates >= 2 AND br > 1 AND NOT high AND vip = 0 AS can_go FROM r1),
+r3 AS (SELECT *, can_go AND row_number() OVER (PARTITION BY session_id ORDER BY can_go DESC, score, photo_id) <= cn - goal AS demoted, max(CASE WHEN photo_id = rep THEN closed + away END) OVER (PARTITION BY session_id, burst) AS rep_bad FROM r2),
+r4 AS (SELECT *, CASE WHEN error THEN NULL WHEN trash THEN 'blurry' WHEN closed + away > rep_bad AND NOT chosen THEN 'closed_eyes' WHEN high THEN 'highlighted' WHEN chosen AND NOT demoted THEN 'selected' WHEN demoted THEN 'alternative' ELSE 'duplicates' END AS label FROM r3),
+""" + _covered("SELECT DISTINCT r4.photo_id, r4.session_id, f.identity_id, r4.score FROM r4 JOIN v_gate_faces f ON f.photo_id = r4.photo_id WHERE f.valid", "SELECT photo_id FROM r4 WHERE chosen AND NOT demoted") + f"""
+SELECT photo_id, session_id, burst, round(score, 6) AS score, CASE WHEN {coverage} AND coalesce(label, '') NOT IN ('selected', 'highlighted') AND photo_id IN (SELECT photo_id FROM cover) THEN 'recommended' ELSE label END AS label, reason, decided_by, margin FROM r4"""
+
+
+def _to_decide(spark, d):
+    p = view(spark, d, "v_photos").join(view(spark, d, "v_light").select("photo_id", F.col("global_lum").alias("lum")), "photo_id")
+    p = p.withColumns({"clip": F.col("k") / F.lit(100.0), "blur_flag": F.col("k") % 6 == 0, "sharp_anywhere": F.col("blur_score") * 2, "error": F.col("k") % 50 == 49})
+    view(spark, d, "v_judged")
+    return p, spark.table("v_gate_faces"), spark.table("v_expressions")
+
+
+@_query(_decision("normal", True))
+def decision_pipeline(spark, d):
+    return decide(*_to_decide(spark, d))
+
+
+@_query(_decision("more", False))
+def decision_pipeline_more(spark, d):
+    return decide(*_to_decide(spark, d), level="more", coverage=False)
+
+
+@_query(_decision("few", True))
+def decision_pipeline_few(spark, d):
+    return decide(*_to_decide(spark, d), level="few")
+
+
+@_query("WITH RECURSIVE " + _covered("SELECT DISTINCT f.photo_id, f.session_id, f.identity_id, s.score FROM v_faces f JOIN v_scored s USING (photo_id)", "SELECT photo_id FROM v_decisions WHERE label = 'selected'") + " SELECT session_id, photo_id FROM cover")
+def coverage_promote(spark, d):
+    return sessions.coverage_promote(view(spark, d, "v_faces"), view(spark, d, "v_decisions").where("label = 'selected'"), _scored(spark, d)).distinct()
+
+
 def _gated(spark, d):
     j = view(spark, d, "v_judged")
     return j.join(windows.technical_gates(j, spark.table("v_gate_faces")).select("photo_id", "alive", "reason"), "photo_id")
@@ -85,6 +156,12 @@ def elo_tiebreak(spark, d):
     return ranking.elo_tiebreak(_heroes(spark, d).where("alive")).select("session_id", "burst", "photo_id", _r("elo"))
 
 
+@_query(HEROES + _elo(True) + "SELECT session_id, burst, photo_id, round(elo, 6) AS elo FROM elo")
+def elo_tiebreak_taste(spark, d):
+    taste = F.when(F.col("photo_id") % 9 != 0, (F.col("photo_id") * 17) % 100 / F.lit(40.0))
+    return ranking.elo_tiebreak(_heroes(spark, d).where("alive").withColumn("taste", taste)).select("session_id", "burst", "photo_id", _r("elo"))
+
+
 @_query(HEROES + WINNERS + "SELECT * FROM winners")
 def burst_winners(spark, d):
     return ranking.burst_winners(_heroes(spark, d))

@@ -68,10 +68,10 @@ def refresh_mtimes(cache: DataFrame, files: DataFrame) -> DataFrame:
     return cache.join(new, "path", "left").withColumn("mtime", F.coalesce("_m", "mtime")).drop("_m")
 
 
-def build_snapshot(decisions: DataFrame) -> DataFrame:
+def build_snapshot(decisions: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Labelled rows without an error, and their linked RAW files with the same label, develop, crop and
-    identities, as far as the table has these."""
-    same = [c for c in ("label", "develop", "crop", "identities") if c in decisions.columns]
+    identities, as far as the table has these, and the columns ``carry``."""
+    same = [c for c in ("label", "develop", "crop", "identities", *carry) if c in decisions.columns]
     return decisions.where("label is not null and not error").select(F.explode(F.array_compact(F.array("photo_id", "linked_raw"))).alias("photo_id"), *same)
 
 

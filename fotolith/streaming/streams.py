@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,10 +14,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 QUIET = 8
 
 
-def coalesce_deltas(deltas: DataFrame, fields: list[str], debounce: str = "50 milliseconds", watermark: str = "10 minutes") -> DataFrame:
+def coalesce_deltas(deltas: DataFrame, fields: list[str], debounce: str = "50 milliseconds", watermark: str = "10 minutes", order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """Merge the metadata deltas of a path until it is quiet for ``debounce``: of each field the last value
-    that isn't null. Works on streams (append mode) and tables alike."""
-    last = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col("ts"))).alias(f) for f in fields]
+    that isn't null, in ``order``, which should tell all rows of a path apart. Works on streams (append mode)
+    and tables alike; :mod:`.ordered` has the form with flush messages."""
+    last = [F.max_by(f, F.when(F.col(f).isNotNull(), F.struct(*order))).alias(f) for f in fields]
     return deltas.withWatermark("ts", watermark).groupBy("path", F.session_window("ts", debounce).alias("w")).agg(*last, F.count("*").alias("merged")).select("path", F.col("w.start").alias("start"), *fields, "merged")
 
 
@@ -34,20 +35,41 @@ def telemetry_stream(events: DataFrame, window: str = "1 hour", slide: str | Non
     return own.groupBy(F.window("ts", window, slide).alias("w"), "kind").agg(F.count("*").alias("n"), F.avg("duration").alias("mean_duration")).select(F.col("w.start").alias("start"), "kind", "n", "mean_duration")
 
 
-def preference_stream(events: DataFrame, path: str, checkpoint: str):
-    """Append +1 and -1 examples of duel events, each event once, also where it comes again in a later batch:
-    a batch leaves out what other batches' folders hold, and one that runs again overwrites its own."""
+def _or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The table at ``path``, nothing where none is written yet; any other fault is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
-    def put(batch: DataFrame, number: int) -> None:
-        both = F.array(F.struct(F.col("winner").alias("photo_id"), F.lit(1).alias("y")), F.struct(F.col("loser").alias("photo_id"), F.lit(-1).alias("y")))
-        new = batch.dropDuplicates(["event_id"])
-        try:
-            new = new.join(batch.sparkSession.read.parquet(path).where(F.col("batch") != number).select("event_id"), "event_id", "left_anti")
-        except AnalysisException:  # nothing is written yet
-            pass
-        new.select("event_id", F.explode(both).alias("e")).select("event_id", "e.*").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+EXAMPLES = "event_id long, photo_id long, y int, bucket long, batch long"
+
+
+def put_examples(batch: DataFrame, number: int, path: str, width: int) -> None:
+    """Write the examples of a batch's events that no other batch holds.
+
+    The table lies in folders by bucket (``width`` event ids) and batch. A batch reads the buckets that its
+    own events fall in and no more, so what it reads doesn't grow with history while ids rise with time;
+    it rewrites its own folders only, so a batch that runs again leaves what it left before.
+    """
+    spark = batch.sparkSession
+    new = batch.where("event_id is not null").dropDuplicates(["event_id"]).withColumn("bucket", F.floor(F.col("event_id") / width))
+    held = _or_none(spark, path, EXAMPLES)
+    if held is not None:
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # no more than the batch's ids span
+        new = new.join(held.where(F.col("bucket").isin(touched) & (F.col("batch") != number)).select("event_id"), "event_id", "left_anti")
+    both = F.array(F.struct(F.col("winner").alias("photo_id"), F.lit(1).alias("y")), F.struct(F.col("loser").alias("photo_id"), F.lit(-1).alias("y")))
+    rows = new.select("event_id", "bucket", F.explode(both).alias("e")).select("event_id", "e.*", "bucket", F.lit(number).cast("long").alias("batch"))
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+
+
+def preference_stream(events: DataFrame, path: str, checkpoint: str, width: int = 1_000_000):
+    """Examples of duel events (``event_id, winner, loser``), +1 and -1, each event once, also where it comes again
+    in a later batch or a batch runs again; see :func:`put_examples`. Events without an id are left out."""
+    return events.writeStream.foreachBatch(lambda batch, number: put_examples(batch, number, path, width)).option("checkpointLocation", checkpoint)
 
 
 def reminders(events: DataFrame, unit: int = 3_600_000_000) -> DataFrame:
