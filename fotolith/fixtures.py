@@ -73,14 +73,23 @@ def _literal(sql: str, spark: bool) -> str:
     return re.sub(r"#([\d.]+)#", r"\1D" if spark else r"\1::DOUBLE", sql)
 
 
+#: Of each session the folder whose views it has, and how many of :data:`VIEWS`.
+_made: dict[str, tuple[str, int]] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One view as a DataFrame; the views and tables it reads are registered as temporary views."""
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    for v, sql in VIEWS.items():
-        spark.sql(_literal(sql.format(**_SPARK), True)).createOrReplaceTempView(v)
-        if v == name:
-            break
+    """One view as a DataFrame; the views and tables it reads are registered as temporary views, unless the
+    session has them of this folder already."""
+    key = f"{spark.sparkContext.applicationId}/{id(spark)}"
+    at, done = _made.get(key, ("", 0))
+    if at != sf_dir or not spark.catalog.tableExists(TABLES[-1]):
+        done = 0
+        for t in TABLES:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    wanted = list(VIEWS).index(name) + 1
+    for v in list(VIEWS)[done:wanted]:
+        spark.sql(_literal(VIEWS[v].format(**_SPARK), True)).createOrReplaceTempView(v)
+    _made[key] = (sf_dir, max(done, wanted))
     return spark.table(name)
 
 

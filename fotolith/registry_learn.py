@@ -12,15 +12,15 @@ from .sources import packets
 
 
 def face_examples(spark, d):
-    """Faces with a vector each, and labels of the ones that ``labels`` names: two attributes that follow from
-    the vector's class, a tenth of them wrong, and one with too few labels."""
+    """Faces with a vector each, and labels of the ones that ``labels`` names: two attributes that follow from the
+    vector, a tenth of the one's labels wrong, and an attribute with too few labels."""
     view(spark, d, "v_photos")
-    faces = spark.table("embeddings").select(F.col("vec_id").alias("face_id"), F.when(F.col("vec_id") % 50 != 49, F.col("embedding").cast("array<double>")).alias("vec"), "label")
-    kind = F.pmod(F.xxhash64("label"), F.lit(6))
+    faces = spark.table("embeddings").select(F.col("vec_id").alias("face_id"), F.when(F.col("vec_id") % 50 != 49, F.col("embedding").cast("array<double>")).alias("vec"))
+    part = lambda a, n: F.aggregate(F.slice("vec", a, n), F.lit(0.0), lambda s, x: s + x)
     wrong = F.pmod(F.xxhash64("face_id", F.lit(1)), F.lit(10)) == 0
     known = faces.join(spark.table("labels").select(F.col("doc_id").alias("face_id")).distinct(), "face_id")
-    eyes = F.when((kind % 2 == 0) != wrong, "closed").otherwise("open")
-    values = F.array(F.struct(F.lit("eyes").alias("attribute"), eyes.alias("value")), F.struct(F.lit("glasses").alias("attribute"), F.when(kind < 2, "none").when(kind < 4, "clear").otherwise("dark").alias("value")),
+    eyes = F.when((part(1, 8) > 0) != wrong, "closed").otherwise("open")
+    values = F.array(F.struct(F.lit("eyes").alias("attribute"), eyes.alias("value")), F.struct(F.lit("glasses").alias("attribute"), F.when(part(20, 4) < -0.1, "none").when(part(20, 4) < 0.1, "clear").otherwise("dark").alias("value")),
                      F.struct(F.lit("subject").alias("attribute"), F.when(F.col("face_id") < 20, "statue").alias("value")))
     return known.select("face_id", F.explode(values).alias("v")).select("face_id", "v.*").where("value is not null"), faces.select("face_id", "vec")
 
