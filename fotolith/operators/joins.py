@@ -108,11 +108,20 @@ def client_selection_report(names: DataFrame, result: DataFrame) -> DataFrame:
     return result.agg(F.count_if("promoted").alias("updated")).join(missing)
 
 
-def nearest_city(photos: DataFrame, cities: DataFrame, max_km: float = 35.0) -> DataFrame:
+def bounded(few: DataFrame, most: int) -> DataFrame:
+    """``few``, after a check that it has no more than ``most`` rows: it is to be one broadcast row."""
+    if few.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows: too many for one broadcast row")
+    return few
+
+
+def nearest_city(photos: DataFrame, cities: DataFrame, max_km: float = 35.0, most: int = 5_000) -> DataFrame:
     """Great-circle nearest of a list of cities, at most ``max_km`` away.
 
-    The list is a dimension of tens of rows; it is held as one array in a single row.
+    The list is a dimension of tens of rows, ``most`` at most (more is an error); it is held as one array in a
+    single row.
     """
+    cities = bounded(cities, most)
     row = cities.agg(F.array_sort(F.collect_list(F.struct("city", "city_lat", "city_lon"))).alias("cities"))
     rad = F.radians
 
@@ -159,8 +168,9 @@ def knn(queries: DataFrame, vecs: DataFrame, k: int = 50, block: int = 2048, par
     return some.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "vec_id", "rank", "score")
 
 
-def nearest_scene(vecs: DataFrame, centroids: DataFrame) -> DataFrame:
-    """The centroid of least Euclidean distance; the centroids are one small array row."""
+def nearest_scene(vecs: DataFrame, centroids: DataFrame, most: int = 1_000) -> DataFrame:
+    """The centroid of least Euclidean distance; the centroids, ``most`` at most (more is an error), are one array row."""
+    centroids = bounded(centroids, most)
     few = centroids.agg(F.array_sort(F.collect_list(F.struct("scene", "centroid"))).alias("cs"))
     d = lambda c: F.aggregate(F.zip_with(c["centroid"], F.col("embedding"), lambda x, y: F.pow(x - y.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x)
     best = F.array_min(F.transform("cs", lambda c: F.struct(F.round(d(c), 9).alias("d"), c["scene"].alias("scene"))))

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from fotolith import registry, registry_edits, registry_learn, registry_more, registry_state  # noqa: F401  the others add to the first
+from fotolith import registry, registry_edits, registry_learn, registry_more, registry_reports, registry_state  # noqa: F401  the others add to the first
 
 SF = "/root/testdata/sf0.001"
 
