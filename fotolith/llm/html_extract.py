@@ -21,9 +21,9 @@ _MARK = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 _STEP = re.compile(r">|=\s*([\"'])")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements whose content is never text of a page.
-_SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "textarea", "select", "object"}
+_SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "textarea", "select", "object", "button"}
 _RAW = {"script", "style", "textarea", "title"}
-_INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img", "input", "label", "button", "meta", "link", "base", "source"}
+_INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img", "input", "label", "meta", "link", "base", "source"}
 _VOID = {"hr", "area", "col", "embed", "param", "track"}
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
@@ -148,7 +148,7 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         links = 0
-        if tag in _VOID or inside.endswith("/>"):
+        if tag in _VOID:  # the slash of other elements, as in <div/>, means nothing in HTML
             continue
         if tag in _RAW:
             end = _RAW_END[tag].search(page, at)

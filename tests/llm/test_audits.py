@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fotolith.llm import divergence, licenses, queries, variants
+from fotolith.llm import divergence, html_extract, licenses, queries, variants
 
 from test_llm import ODD, SCHEMA  # tests of one folder are importable from each other
 
@@ -207,3 +207,38 @@ def test_spans_and_labels(spark):
     assert (b.n_words, b.labels, b.score) == (5, "", 0.0) and (c.n_words, c.n_base, c.labels, c.first_word) == (0, 0, "", None)
 
 
+
+
+def test_slashes_and_buttons():
+    """A slash doesn't close an element that isn't empty by itself; a button's text is no text."""
+    page = "<body><article/><p>One.</p><div/>Two.<button>Send <b>now</b></button> three<br/>four</article><hr/><p>Five"
+    assert [b.text for b in html_extract.blocks(page)] == ["One.", "Two.", "three four", "Five"]
+    assert [html_extract.marked(b.path) for b in html_extract.blocks(page)] == [True, True, True, False]
+
+
+def test_lstm_by_a_plain_loop():
+    """Both directions step by step, one page at a time; other pages of the group change nothing."""
+    rng = np.random.default_rng(4)
+    model = html_extract.BlockLSTM(5, 3, 1)
+    pages = [rng.normal(0, 1, (n, 5)) for n in (1, 4, 7, 4)]
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(x, d):
+        h, c, out = np.zeros(3), np.zeros(3), []
+        for v in x:
+            a = v @ model.p[f"W{d}"] + h @ model.p[f"U{d}"] + model.p[f"c{d}"]
+            c = sig(a[:3]) * c + sig(a[3:6]) * np.tanh(a[9:])
+            h = sig(a[6:9]) * np.tanh(c)
+            out.append(h)
+        return np.array(out)
+
+    got = model.predict(np.concatenate(pages), [len(p) for p in pages], budget=9)
+    want = [sig(np.concatenate([states(x, "f"), states(x[::-1], "b")[::-1], x], 1) @ model.p["V"][:, 0] + model.p["v"]) for x in pages]
+    assert np.allclose(got, np.concatenate(want))
+
+
+def test_text_of_a_page_depends_on_it_alone(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    model = html_extract.fit(pages, rounds=4)
+    a, b = (html_extract.extract(df, model).orderBy("page_id").collect() for df in (pages.coalesce(1).orderBy("page_id"), pages.repartition(9, F.xxhash64("html"))))
+    assert a == b and any(r.n_chars for r in a)
