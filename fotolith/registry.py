@@ -513,7 +513,10 @@ def resolve_duplicates(spark, d):
     return sessions.resolve_duplicates(p.select("photo_id", "session_id", "t_us"), joins.exact_duplicate_pairs(p))
 
 
-@_query()
+@_query("""WITH RECURSIVE o AS (SELECT session_id, list({'id': photo_id, 'h': phash} ORDER BY t_us, photo_id) AS rest FROM v_hashed GROUP BY session_id),
+s AS (SELECT session_id, -1::BIGINT AS cluster, rest, rest[1:0] AS own FROM o
+UNION ALL SELECT session_id, cluster + 1, list_filter(rest, lambda x: bit_count(xor(x.h, rest[1].h)) > 10), list_filter(rest, lambda x: bit_count(xor(x.h, rest[1].h)) <= 10) FROM s WHERE len(rest) > 0)
+SELECT session_id, m.id AS photo_id, cluster FROM (SELECT session_id, cluster, unnest(own) AS m FROM s)""")
 def leader_clusters(spark, d):
     return sessions.leader_clusters(view(spark, d, "v_hashed"))
 
