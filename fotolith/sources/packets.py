@@ -14,6 +14,12 @@ def _first(values: Column, good) -> Column:
     return F.try_element_at(F.filter(values, lambda x: F.coalesce(good(x), F.lit(False))), F.lit(1))
 
 
+def _once(df: DataFrame, name: str, parsed: Column) -> DataFrame:
+    """``df`` with a parsed column. It comes out of a generator of one row, through which no filter on what is
+    taken from it is pushed down: such a filter would parse again for each place that it names."""
+    return df.select("*", F.explode(F.array(parsed)).alias(name))
+
+
 def sidecar_packets(df: DataFrame, packet: str = "packet", develop: tuple[str, ...] = DEVELOP, crop: tuple[str, ...] = CROP) -> DataFrame:
     """``df`` with ``rating``, ``label``, ``develop`` and ``crop`` (maps of numbers) of its XMP packets, by one parse each.
 
@@ -27,7 +33,7 @@ def sidecar_packets(df: DataFrame, packet: str = "packet", develop: tuple[str, .
     schema = "`rdf:RDF` struct<`rdf:Description`: array<struct<" + ", ".join(f"`{n}`: string" for n in names) + ">>>"
     text = F.regexp_extract(packet, r"(?s)<x:xmpmeta.*</x:xmpmeta>|<rdf:RDF.*</rdf:RDF>", 0)
     text = F.when(text.startswith("<rdf:RDF"), F.concat(F.lit("<x:xmpmeta>"), text, F.lit("</x:xmpmeta>"))).otherwise(text)
-    d = df.withColumn("_x", F.from_xml(F.when(text != "", text), schema, {"mode": "PERMISSIVE"}))
+    d = _once(df, "_x", F.from_xml(F.when(text != "", text), schema, {"mode": "PERMISSIVE"}))
     d = d.withColumn("_d", F.coalesce(F.col("_x")["rdf:RDF"]["rdf:Description"], F.array())).drop("_x")
     of = lambda name: F.transform("_d", lambda x: F.trim(x[name]))
     whole = lambda x: x.rlike(r"^-*\d+$")
@@ -62,7 +68,7 @@ def telemetry_payloads(events: DataFrame) -> DataFrame:
         if path:
             amount = F.when(F.col("kind") == kind, get(path, "double")).otherwise(amount)
     state = F.when(F.col("_v").isNull(), "broken").when(~F.col("kind").isin(list(KINDS)), "unknown").otherwise("read")
-    return (events.withColumn("_v", F.try_parse_json("payload"))
+    return (_once(events, "_v", F.try_parse_json("payload"))
             .select("event_id", "install", "kind", state.alias("state"), get("$.os", "string").alias("os"), get("$.gpu", "string").alias("gpu"), get("$.override_type", "string").alias("override_type"),
                     get("$.features_at_moment.blur", "double").alias("blur"), get("$.features_at_moment.face_count", "int").alias("faces"), amount.alias("amount"), get("$.preset", "string").alias("preset")))
 
