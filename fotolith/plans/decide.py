@@ -12,6 +12,8 @@ from ..operators.sessions import kind_of, uncovered
 #: How much of a session is to be delivered by level (fixed values).
 TARGETS = {"few": 0.25, "normal": 0.35, "more": 0.50}
 TOP_SHARE = 0.10
+#: Photos a task takes, more only where a session has more: its windows each hold their rows.
+TASK_ROWS = 50_000
 
 c = F.col
 
@@ -24,6 +26,12 @@ def _burst() -> WindowSpec:
     return Window.partitionBy("session_id", "burst")
 
 
+def by_session(d: DataFrame, rows: int) -> DataFrame:
+    """``d`` moved by session into as many parts as its ``rows`` need, if they are more than Spark's own number."""
+    parts = -(-rows // TASK_ROWS)
+    return d.repartition(parts, "session_id") if parts > int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")) else d
+
+
 def paced(d: DataFrame, lo: float = 0.7, hi: float = 1.4) -> DataFrame:
     """``norm``: the score scaled by how the chapter's median stands to the session's, over photos that ``can``."""
     able = F.when(c("can"), c("score"))
@@ -79,12 +87,14 @@ def decide(photos: DataFrame, faces: DataFrame, expressions: DataFrame, gap: flo
     (valid_faces, closed, away, smiling, max_yaw, gaze, vip).
 
     Photos meet the figures of their faces by photo_id; then they move once, by session, and all steps are
-    windows over it or over its bursts and chapters. A session is a folder's day, so it fits in a task.
+    windows over it or over its bursts and chapters. A session is a folder's day, so it fits in a task;
+    photos are counted before, so that tasks grow in number, not in size.
     The last step, which covers people in the order they are first seen, takes a session's rows as
     one group from where they lie.
     """
     none = {"valid_faces": 0, "closed": 0, "away": 0, "smiling": 0, "max_yaw": 0.0, "gaze": 0.5, "vip": 0}
     met = photos.join(expressions, "photo_id", "left").fillna(none).join(windows.gate_figures(faces), "photo_id", "left")
+    met = by_session(met, photos.select("photo_id").count())
     d = windows.apply_gates(windows.chapters_by_gap(windows.gap_bursts(met, gap)))
     d = d.withColumn("score", rules.hero_bonus(rules.cold_score(c("blur_score"), c("aesthetic_score")), c("vip") > 0, c("n"), c("valid_faces"), c("max_yaw"), c("gaze"), c("closed"), c("away"), c("smiling")))
     d = ranking.mark_winners(d)
