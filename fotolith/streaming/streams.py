@@ -48,22 +48,42 @@ def _or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
 EXAMPLES = "event_id long, photo_id long, y int, bucket long, batch long"
 
 
+#: At most this many folders hold a batch's examples.
+FOLDERS = 64
+
+
+def _starts(buckets: list[int]) -> tuple[list[int], int]:
+    """The least power of two by which buckets fall into no more than :data:`FOLDERS` runs of that length, and where
+    these runs start."""
+    step = 1
+    while len(runs := {b // step * step for b in buckets}) > FOLDERS:
+        step *= 2
+    return sorted(runs), step
+
+
 def put_examples(batch: DataFrame, number: int, path: str, width: int) -> None:
     """Write the examples of a batch's events that no other batch holds.
 
-    The table lies in folders by bucket (``width`` event ids) and batch. A batch reads the buckets that its
-    own events fall in and no more, so what it reads doesn't grow with history while ids rise with time;
-    it rewrites its own folders only, so a batch that runs again leaves what it left before.
+    The table lies in folders by bucket (``width`` event ids, or a run of such buckets, by its first, where a batch
+    spans too many) and batch. A batch reads the buckets that its own events fall in, of runs of any
+    length, and no more, so what it reads doesn't grow with history while ids rise with time; it rewrites
+    its own folders only, so a batch that runs again leaves what it left before.
     """
     spark = batch.sparkSession
-    new = batch.where("event_id is not null").dropDuplicates(["event_id"]).withColumn("bucket", F.floor(F.col("event_id") / width))
+    fine = F.floor(F.col("event_id") / width)
+    new = batch.where("event_id is not null").dropDuplicates(["event_id"])
+    runs, step = _starts([r[0] for r in new.select(fine.alias("bucket")).distinct().collect()])  # no more than the batch's ids span
+    new = new.withColumn("bucket", F.floor(fine / step) * step)
     held = _or_none(spark, path, EXAMPLES)
-    if held is not None:
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # no more than the batch's ids span
-        new = new.join(held.where(F.col("bucket").isin(touched) & (F.col("batch") != number)).select("event_id"), "event_id", "left_anti")
+    if held is not None and runs:
+        longer = {b // (step << i) * (step << i) for b in runs for i in range(1, 41)}
+        near = F.col("bucket").isin(sorted(longer))
+        for b in runs:
+            near = near | F.col("bucket").between(b, b + step - 1)
+        new = new.join(held.where(near & (F.col("batch") != number)).select("event_id"), "event_id", "left_anti")
     both = F.array(F.struct(F.col("winner").alias("photo_id"), F.lit(1).alias("y")), F.struct(F.col("loser").alias("photo_id"), F.lit(-1).alias("y")))
     rows = new.select("event_id", "bucket", F.explode(both).alias("e")).select("event_id", "e.*", "bucket", F.lit(number).cast("long").alias("batch"))
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+    rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
 
 
 def preference_stream(events: DataFrame, path: str, checkpoint: str, width: int = 1_000_000):
