@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import sqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -33,8 +35,8 @@ def storyline_segments(photos: DataFrame) -> DataFrame:
         for i, (t, v) in enumerate(zip(pdf["t_us"], pdf["vec"], strict=True)):
             x = None if v is None or not len(v) else np.asarray(v, float)
             if size >= LOOKED and x is not None and recent:
-                mean = np.mean(recent[-3:], axis=0)
-                norm = np.linalg.norm(mean)
+                mean = sum(recent) / len(recent)
+                norm = sqrt(mean @ mean)
                 change = 1 - float(x @ mean) / norm if norm > 0 else 0.0
                 if change > STRONG or size >= SETTLED and t - began >= MINUTES * 60e6 and change > MILD:
                     part, size, recent = part + 1, 0, []
@@ -47,11 +49,12 @@ def storyline_segments(photos: DataFrame) -> DataFrame:
         return pdf.assign(part=out)[["photo_id", "session_id", "t_us", "scene_type", "stretch", "part"]]
 
     parts = d.groupBy("session_id", "stretch").applyInPandas(fold, f"photo_id long, session_id {kind}, t_us long, scene_type string, stretch long, part long")
+    # By session first: the parts of a session then lie where they are counted, and rows move once.
+    parts = parts.withColumn("number", F.dense_rank().over(Window.partitionBy("session_id").orderBy("stretch", "part")))
     own = Window.partitionBy("session_id", "stretch", "part")
     main = F.col("scene_type").isNull() | (F.col("scene_type") != "detail")
-    parts = parts.withColumn("broll", ~main & (F.count_if(main).over(own) >= MAIN))
-    number = F.dense_rank().over(Window.partitionBy("session_id").orderBy("stretch", "part"))
-    return parts.withColumn("segment", F.when(F.col("broll"), F.lit(0)).otherwise(number).cast("long")).select("photo_id", "session_id", "segment")
+    broll = ~main & (F.count_if(main).over(own) >= MAIN)
+    return parts.withColumn("segment", F.when(broll, F.lit(0)).otherwise(F.col("number")).cast("long")).select("photo_id", "session_id", "segment")
 
 
 def apply_overrides(members: DataFrame, overrides: DataFrame) -> DataFrame:
