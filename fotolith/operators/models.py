@@ -68,7 +68,9 @@ def fit_logistic(examples: DataFrame, folds: int, balanced: bool, penalty: float
     pass for all models, of whose gradients and second derivatives the sums come to the driver: their size
     is that of the models, not of the rows. Keys with one class have no model.
     """
-    data = written(examples.select("key", F.col("fold").cast("int").alias("fold"), F.col("y").cast("string").alias("y"), F.col("x").cast("array<double>").alias("x")))
+    # Dealt evenly: what comes from a join of light rows may lie in few tasks.
+    parts = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    data = written(examples.select("key", F.col("fold").cast("int").alias("fold"), F.col("y").cast("string").alias("y"), F.col("x").cast("array<double>").alias("x")).repartition(parts))
     counts: dict[str, dict[int, dict[str, int]]] = {}
     for r in data.groupBy("key", "fold", "y").agg(F.count("*").alias("n")).collect():
         counts.setdefault(r["key"], {}).setdefault(r["fold"], {})[r["y"]] = r["n"]
@@ -131,6 +133,7 @@ def fit_logistic(examples: DataFrame, folds: int, balanced: bool, penalty: float
             g = v[:kk * d].reshape(kk, d) + penalty * m.weights * free
             h = v[kk * d:].reshape(kk * d, kk * d) + np.diag(penalty * free.ravel() + 1e-9)
             move = np.linalg.lstsq(h, g.ravel(), rcond=None)[0].reshape(kk, d)
+            move[:, -1] -= move[:, -1].mean()  # a shift of all biases changes no probability; its rounding errors never end
             longest = np.abs(move).max()
             m.weights = m.weights - move * min(1.0, 4.0 / max(longest, 1e-300))  # a first step too far is cut short
             if longest < tolerance:
@@ -245,15 +248,17 @@ def pairwise_eval(pairs: DataFrame, sets: dict[str, list[str]], group: str = "bu
     the two stands first is drawn by a hash, so that the model can't learn the order. ``spread`` is the
     standard deviation over folds. With fewer groups than ``folds`` there are as many folds as groups.
     """
-    n_groups = pairs.select(group).distinct().count()
-    folds = min(folds, n_groups)
-    if folds < 2:
-        return pairs.sparkSession.createDataFrame([], "features string, pairs long, groups long, folds long, mean double, spread double")
     flip = F.pmod(F.xxhash64("winner", "loser"), F.lit(2)) == 1
     names = sorted({f for own in sets.values() for f in own})
     diff: dict[str, Column] = {f: (F.when(flip, 1.0).otherwise(-1.0)) * (F.coalesce(F.col(f"w_{f}").cast("double"), F.lit(0.0)) - F.coalesce(F.col(f"l_{f}").cast("double"), F.lit(0.0))) for f in names}
-    d = pairs.join(group_folds(pairs, group, folds).select(group, "fold"), group).select("fold", flip.cast("int").cast("string").alias("y"), *[c.alias(f) for f, c in diff.items()])
-    cells = F.array(*[F.struct(F.lit(k).alias("key"), F.array(*own).alias("x")) for k, own in sets.items()])
-    examples = written(d.select("fold", "y", F.explode(cells).alias("s")).select("s.key", "fold", "y", "s.x"))
+    # Written, since groups, folds and examples each read them.
+    d = written(pairs.select(group, flip.cast("int").cast("string").alias("y"), *[c.alias(f"d_{f}") for f, c in diff.items()]))
+    n_groups = d.select(group).distinct().count()
+    folds = min(folds, n_groups)
+    if folds < 2:
+        return pairs.sparkSession.createDataFrame([], "features string, pairs long, groups long, folds long, mean double, spread double")
+    cells = F.array(*[F.struct(F.lit(k).alias("key"), F.array(*[f"d_{f}" for f in own]).alias("x")) for k, own in sets.items()])
+    dealt = d.join(group_folds(d, group, folds).select(group, "fold"), group)
+    examples = dealt.select("fold", "y", F.explode(cells).alias("s")).select("s.key", "fold", "y", "s.x")
     models = fit_logistic(examples, folds, balanced=False)
     return _accuracy(examples, models).select(F.col("key").alias("features"), F.col("n").alias("pairs"), F.lit(n_groups).cast("long").alias("groups"), "folds", "mean", "spread")
