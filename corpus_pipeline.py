@@ -76,7 +76,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stay. An empty table gives an empty one; other columns are left behind.
     """
     rows = keyed(docs)
-    group = neardup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    # Written: with what follows it would be one plan of all joins, which the driver holds and plans again after each.
+    group = written(neardup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id"), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW))
     kept = group.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first.alias("first")).select(f"first.{ROW}")
     return keep(rows, kept)

@@ -168,9 +168,12 @@ def beside(rows: DataFrame, stats: DataFrame, key: str) -> DataFrame:
     """``rows`` with the ``stats`` of their ``key``, among them ``holders``; rows of keys that aren't there go.
 
     Rows of long groups are joined apart from the others: these groups are few, so Spark sends their
-    stats to all tasks if they are small, and a group's rows needn't meet in one task.
+    stats to all tasks if they are small, and a group's rows needn't meet in one task. Without any the
+    join stands once in the plan: plans that hold their rows twice at several steps weigh on the driver.
     """
     stats = written(stats, "stats")
+    if stats.where(F.col("holders") > LONG).isEmpty():
+        return rows.join(stats, key)
     long = stats.where(F.col("holders") > LONG)
     rest = rows.join(long.select(key), key, "left_anti").join(stats.where(F.col("holders") <= LONG), key)
     return rest.unionByName(rows.join(long, key))
@@ -277,7 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, slack: f
 
         central = F.max(F.struct((F.col("spread") / F.col("n")).alias("spread"), "cid", "n", "comp")).alias("hub")
         met = beside(rest, rest.groupBy("sig").agg(central, F.count("*").alias("holders")), "sig").where("cid <> hub.cid")
-        met = met.select("sig", "cid", "n", "comp", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.comp").alias("hub_comp"))
+        met = written(met.select("sig", "cid", "n", "comp", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.comp").alias("hub_comp")), "met")
         found = link(met.where("comp <> hub_comp").where(fits("n", "hub_n")).select(F.col("cid").alias("a"), F.col("hub").alias("b")))
         comp = joined(comp, found)
         rest = unresolved(named(met.select("sig", "cid", "n"), comp))
